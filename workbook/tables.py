@@ -84,7 +84,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce(F.try_element_at(phase, start), F.lit("unknown")).alias("phase"),
         "epiweek_date", F.weekofyear("epiweek_date").cast("long").alias("week"),
         F.coalesce("age_cat", F.lit(TOTAL)).alias("age_cat"), F.coalesce("virus_cat", F.lit(TOTAL)).alias("virus_cat"),
-        F.when(F.col("n") % 7 != 0, F.round(F.col("amount").cast("double") / 100000.0, 4)).alias("weekly_rate"))
+        F.when(F.col("n") % 7 != 0, F.floor(F.col("amount").cast("double") / 1000.0) / 100.0).alias("weekly_rate"))
     return cumulative_rate(weekly, ["season", *PANEL_DIMS], "epiweek_date", "weekly_rate")
 
 
@@ -105,7 +105,7 @@ panel AS (
       WHEN start_year IN (2000, 2001) THEN 'recovery' ELSE 'unknown' END AS phase,
     epiweek_date, CAST(weekofyear(epiweek_date) AS BIGINT) AS week, age_cat, virus_cat, weekly_rate,
     sum(weekly_rate) OVER (PARTITION BY start_year, age_cat, virus_cat ORDER BY epiweek_date) AS cum_rate
-  FROM (SELECT *, CASE WHEN n % 7 <> 0 THEN round(CAST(amount AS DOUBLE) / 100000.0, 4) END AS weekly_rate
+  FROM (SELECT *, CASE WHEN n % 7 <> 0 THEN floor(CAST(amount AS DOUBLE) / 1e3) / 1e2 END AS weekly_rate
         FROM weekly))"""
 
 
