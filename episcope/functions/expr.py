@@ -133,7 +133,9 @@ def logistic(z: Column) -> Column:
 
 
 def decimals(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", c)
+    """Fixed-point text. The value is settled at nine digits first, so that the last bit of a sum decides nothing;
+    a half is printed upwards."""
+    return F.format_string(f"%.{digits}f", F.round(c, 9))
 
 
 def median_iqr_cell(median: Column, q1: Column, q3: Column, digits: int = 1) -> Column:

@@ -167,14 +167,14 @@ def table_one(spark, sf):
 
 @query("table_one_cells", TABLE_ONE + """
 SELECT stratum_variable, stratum_value, phase, n_seasons, n_weeks_obs,
-  CASE WHEN weekly_median IS NULL THEN '—' ELSE printf('%.1f (%.1f–%.1f)', weekly_median, weekly_q1, weekly_q3) END
+  CASE WHEN weekly_median IS NULL THEN '—' ELSE printf('%.1f (%.1f–%.1f)', round(round(weekly_median, 9), 1), round(round(weekly_q1, 9), 1), round(round(weekly_q3, 9), 1)) END
     AS weekly_median_iqr,
-  CASE WHEN weekly_mean IS NULL THEN '—' WHEN weekly_sd IS NULL THEN printf('%.1f (nan)', weekly_mean)
-    ELSE printf('%.1f (%.1f)', weekly_mean, weekly_sd) END AS weekly_mean_sd,
-  CASE WHEN peak_mean IS NULL THEN '—' WHEN peak_sd IS NULL THEN printf('%.1f (nan)', peak_mean)
-    ELSE printf('%.1f (%.1f)', peak_mean, peak_sd) END AS peak_rate_mean_sd,
-  CASE WHEN cum_mean IS NULL THEN '—' WHEN cum_sd IS NULL THEN printf('%.1f (nan)', cum_mean)
-    ELSE printf('%.1f (%.1f)', cum_mean, cum_sd) END AS cum_rate_mean_sd
+  CASE WHEN weekly_mean IS NULL THEN '—' WHEN weekly_sd IS NULL THEN printf('%.1f (nan)', round(round(weekly_mean, 9), 1))
+    ELSE printf('%.1f (%.1f)', round(round(weekly_mean, 9), 1), round(round(weekly_sd, 9), 1)) END AS weekly_mean_sd,
+  CASE WHEN peak_mean IS NULL THEN '—' WHEN peak_sd IS NULL THEN printf('%.1f (nan)', round(round(peak_mean, 9), 1))
+    ELSE printf('%.1f (%.1f)', round(round(peak_mean, 9), 1), round(round(peak_sd, 9), 1)) END AS peak_rate_mean_sd,
+  CASE WHEN cum_mean IS NULL THEN '—' WHEN cum_sd IS NULL THEN printf('%.1f (nan)', round(round(cum_mean, 9), 1))
+    ELSE printf('%.1f (%.1f)', round(round(cum_mean, 9), 1), round(round(cum_sd, 9), 1)) END AS cum_rate_mean_sd
 FROM s JOIN o USING (phase, stratum_variable, stratum_value)""")
 def table_one_cells(spark, sf):
     return surveillance.table_one_cells(_table_one(spark, sf)).drop("peak_week_median_iqr", "season_dur_median_iqr")
@@ -192,9 +192,9 @@ def table_one_layout(spark, sf):
 
 
 @query("parsed_cells", TABLE_ONE + """
-SELECT stratum_variable, stratum_value, phase, CAST(printf('%.1f', weekly_median) AS DOUBLE) AS median,
-  CAST(printf('%.1f', weekly_q1) AS DOUBLE) AS low, CAST(printf('%.1f', weekly_q3) AS DOUBLE) AS high,
-  printf('%.1f%%', n_weeks_obs / 200.0 * 100) AS share_cell
+SELECT stratum_variable, stratum_value, phase, CAST(printf('%.1f', round(round(weekly_median, 9), 1)) AS DOUBLE) AS median,
+  CAST(printf('%.1f', round(round(weekly_q1, 9), 1)) AS DOUBLE) AS low, CAST(printf('%.1f', round(round(weekly_q3, 9), 1)) AS DOUBLE) AS high,
+  printf('%.1f%%', round(round(n_weeks_obs / 200e0 * 100, 9), 1)) AS share_cell
 FROM s JOIN o USING (phase, stratum_variable, stratum_value)""")
 def parsed_cells(spark, sf):
     cells = surveillance.table_one_cells(_table_one(spark, sf))
