@@ -38,19 +38,19 @@ class Moments:
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> Moments:
-    """Complete-case moments in one aggregate. Driver step: one row of p (p + 1) / 2 numbers."""
+    """Complete-case moments: a pass for the means, a pass for the centred products. The driver gets p (p + 1) / 2 sums."""
     cols = list(cols)
-    rows = df.dropna(subset=cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols],
-                   *[F.covar_pop(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")) for i, j in pairs]).first()
-    n = row[0]
-    if not n:
+    rows = df.dropna(subset=cols).select(*[F.col(c).cast("double").alias(c) for c in cols])
+    head = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols]).first()
+    if not head[0]:
         raise ValueError("no complete rows to fit")
+    centred = rows.select(*[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(cols, head[1:])])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    row = centred.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs]).first()
     cross = np.zeros((len(cols), len(cols)))
-    for (i, j), v in zip(pairs, row[1 + len(cols):]):
-        cross[i, j] = cross[j, i] = v * n
-    return Moments(n, cols, np.array([float(v) for v in row[1:1 + len(cols)]]), cross)
+    for (i, j), v in zip(pairs, row):
+        cross[i, j] = cross[j, i] = v
+    return Moments(head[0], cols, np.array([float(v) for v in head[1:]]), cross)
 
 
 @dataclass
@@ -135,21 +135,25 @@ def treatment_code(df: DataFrame, col: str, levels: Sequence[str], reference: st
 def _glm(df: DataFrame, y: str, xs: Sequence[str], collapse: bool):
     rows = df.select(F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in xs]).dropna()
     check_outcome(rows, "__y")
-    weight = {}
+    weight, settled = {}, 0.0
     if collapse:
-        # Equal design rows count once with their frequency: indicator designs shrink to a few rows.
-        rows = rows.groupBy("__y", *xs).agg(F.count(F.lit(1)).cast("double").alias("__w"))
+        # Equal design rows become one row with their share of ones and their number: indicator designs get tiny.
+        rows = rows.groupBy(*xs).agg(F.avg("__y").alias("__y"), F.count(F.lit(1)).cast("double").alias("__w"))
         weight = {"weightCol": "__w"}
+        p = F.col("__y")
+        entropy = F.when((p > 0) & (p < 1), p * F.log(p) + (1 - p) * F.log(1 - p)).otherwise(0.0)
+        settled, n = rows.agg(F.sum(F.col("__w") * entropy), F.sum("__w")).first()
     design = VectorAssembler(inputCols=list(xs), outputCol="features").transform(rows).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
         model = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="__y", featuresCol="features",
                                             maxIter=50, tol=1e-10, **weight).fit(design)
         s = model.summary
-        n = int(rows.agg(F.sum("__w")).first()[0]) if collapse else s.numInstances
+        # Deviances of grouped rows are relative to the shares; add that constant to get back to single outcomes.
         return {"beta": [model.intercept, *model.coefficients.toArray()],
                 "se": [s.coefficientStandardErrors[-1], *s.coefficientStandardErrors[:-1]],
-                "deviance": s.deviance, "null": s.nullDeviance, "n": n}
+                "deviance": s.deviance - 2 * settled, "null": s.nullDeviance - 2 * settled,
+                "n": int(n) if collapse else s.numInstances}
     finally:
         design.unpersist()
 
