@@ -134,7 +134,7 @@ def _predict(df: DataFrame, fit: Ols, z: float) -> DataFrame:
 
 def fit_baseline(train: DataFrame, date: str, y: str, growth: str = "flat", order: int = 10) -> Ols:
     coded, names = design(train, date, growth, order)
-    return ols_fit(moments(coded, [y, *names]), y, names)
+    return ols_fit(moments(coded, [y, *names], few_rows=True), y, names)
 
 
 def project(grid: DataFrame, fit: Ols, date: str, growth: str = "flat", order: int = 10, z: float = 1.96) -> DataFrame:
@@ -212,17 +212,23 @@ def compare_detections(merged: dict[str, DataFrame], date: str, y: str, after: s
 
 
 def _season_moments(df: DataFrame, season: str, cols: Sequence[str]) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
-    """Raw sums and cross-products per season: one small row for each season reaches the driver."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    rows = df.dropna(subset=list(cols)).groupBy(season).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)],
-        *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"p{i}_{j}") for i, j in pairs]).collect()
-    out = {}
+    """Raw sums and cross-products per season; the driver gets p x p sums for each season.
+
+    A constant column in front turns counts and sums into cross-products too. Input is a weekly series, so the products
+    are spread as rows (see :func:`moments`).
+    """
+    p = len(cols) + 1
+    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in cols])
+    outer = F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: a * b)))
+    rows = df.dropna(subset=list(cols)).select(season, F.posexplode(outer).alias("at", "v")).groupBy(season, "at").agg(
+        F.sum("v").alias("v")).collect()
+    flat: dict[str, np.ndarray] = {}
     for r in rows:
-        cross = np.zeros((len(cols), len(cols)))
-        for i, j in pairs:
-            cross[i, j] = cross[j, i] = r[f"p{i}_{j}"]
-        out[r[season]] = (r["n"], np.array([r[f"s{i}"] for i in range(len(cols))]), cross)
+        flat.setdefault(r[season], np.zeros(p * p))[r["at"]] = r["v"]
+    out = {}
+    for name, values in flat.items():
+        m = values.reshape(p, p)
+        out[name] = (m[0, 0], m[0, 1:], (m[1:, 1:] + m[1:, 1:].T) / 2)
     return out
 
 
@@ -268,7 +274,7 @@ def trend_changes(train: DataFrame, date: str, y: str, n_changes: int = 15, shar
     head = rows.agg(F.percentile(_day(date), probs), F.max(F.abs(y)), F.max(_day(date)) - F.min(_day(date))).first()
     days, top, span = [math.floor(v) for v in head[0]], float(head[1]), float(head[2]) / YEAR_DAYS
     coded, names = design(rows, date, "linear", order, days)
-    m = moments(coded.withColumn("__y", F.col(y) / F.lit(top)), ["__y", *names])
+    m = moments(coded.withColumn("__y", F.col(y) / F.lit(top)), ["__y", *names], few_rows=True)
     for i, c in enumerate(m.names):
         if c == "__trend" or c.startswith("__hinge"):
             m.cross[i, :] /= span

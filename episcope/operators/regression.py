@@ -37,8 +37,12 @@ class Moments:
         return [self.names.index(c) for c in names]
 
 
-def moments(df: DataFrame, cols: Sequence[str]) -> Moments:
-    """Complete-case moments: a pass for the means, a pass for the centred products. The driver gets p (p + 1) / 2 sums."""
+def moments(df: DataFrame, cols: Sequence[str], few_rows: bool = False) -> Moments:
+    """Complete-case moments: a pass for the means, a pass for the centred products. The driver gets p (p + 1) / 2 sums.
+
+    Products are separate sums in one generated aggregate. ``few_rows`` (a weekly series under a wide design) spreads
+    them as rows instead, which avoids compiling hundreds of sums for a small table.
+    """
     cols = list(cols)
     rows = df.dropna(subset=cols).select(*[F.col(c).cast("double").alias(c) for c in cols])
     head = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols]).first()
@@ -46,10 +50,20 @@ def moments(df: DataFrame, cols: Sequence[str]) -> Moments:
         raise ValueError("no complete rows to fit")
     centred = rows.select(*[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(cols, head[1:])])
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = centred.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs]).first()
-    cross = np.zeros((len(cols), len(cols)))
-    for (i, j), v in zip(pairs, row):
-        cross[i, j] = cross[j, i] = v
+    if few_rows:
+        x = F.array(*cols)
+        outer = F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: a * b)))
+        sums = centred.select(F.posexplode(outer).alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
+        flat = np.zeros(len(cols) ** 2)
+        for r in sums:
+            flat[r["at"]] = r["v"]
+        cross = flat.reshape(len(cols), len(cols))
+        cross = (cross + cross.T) / 2
+    else:
+        row = centred.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs]).first()
+        cross = np.zeros((len(cols), len(cols)))
+        for (i, j), v in zip(pairs, row):
+            cross[i, j] = cross[j, i] = v
     return Moments(head[0], cols, np.array([float(v) for v in head[1:]]), cross)
 
 
