@@ -38,6 +38,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate files: the checkpoint folder, which every executor can reach."""
+    _ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder, so lost executors cost no recomputation."""
     _ensure_checkpoint_dir(df.sparkSession)

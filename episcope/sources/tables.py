@@ -68,13 +68,14 @@ def tagged_union(frames: Mapping[str, DataFrame], tag_col: str) -> DataFrame:
     return out
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "csv", partition_by: Sequence[str] = ()) -> None:
+def write_table(df: DataFrame, path: str, fmt: str = "csv", partition_by: Sequence[str] = (),
+                sep: str = ",") -> None:
     """Write a result table. Text for hand-over, Parquet for intermediates."""
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("sep", sep).csv(path)
     else:
         writer.format(fmt).save(path)
 
