@@ -86,8 +86,8 @@ def preprocessor(categorical: Sequence[str] = (), binary_words: Sequence[str] =
         parts.append(f"{c}__i")
     for c in categorical:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__i", stringOrderType="alphabetAsc", handleInvalid="keep"))
-        # The "keep" slot for unknown levels is last, and dropping the last slot leaves zeros for it.
-        stages.append(OneHotEncoder(inputCol=f"{c}__i", outputCol=f"{c}__v", dropLast=True, handleInvalid="keep"))
+        # The indexer keeps a last slot for unknown levels, and dropping the last slot leaves zeros for it.
+        stages.append(OneHotEncoder(inputCol=f"{c}__i", outputCol=f"{c}__v", dropLast=True, handleInvalid="error"))
         parts.append(f"{c}__v")
     parts += list(passthrough)
     if scaled:

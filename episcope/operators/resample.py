@@ -36,20 +36,20 @@ def bootstrap_ratio(df: DataFrame, keys: Sequence[str], unit: str, num: str, den
     """
     keys = list(keys)
     window = Window.partitionBy(*keys).orderBy(unit)  # one row per unit of a summary table
-    units = df.select(*keys, unit, F.col(num).cast("double").alias("g"), F.col(den).cast("double").alias("r")).withColumn(
-        "idx", (F.row_number().over(window) - 1).cast("long"))
+    units = df.select(*keys, unit, F.col(num).cast("double").alias("__g"), F.col(den).cast("double").alias("__r")).withColumn(
+        "__idx", (F.row_number().over(window) - 1).cast("long"))
     sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    drawn = _draws(sizes, keys, replicates).withColumn("idx", _pick(seed, F.col("n"), "rep", "draw"))
-    weights = drawn.groupBy(*keys, "rep", "idx").agg(F.count(F.lit(1)).alias("w"))
+    drawn = _draws(sizes, keys, replicates).withColumn("__idx", _pick(seed, F.col("n"), "rep", "draw"))
+    weights = drawn.groupBy(*keys, "rep", "__idx").agg(F.count(F.lit(1)).alias("w"))
 
     def mean(c: str) -> Column:
         return F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), F.col("w"))))
 
-    reps = weights.join(units, [*keys, "idx"]).groupBy(*keys, "rep").agg(mean("g").alias("g"), mean("r").alias("r"))
-    ratio = reps.select(*keys, F.when(F.col("r") > 0, F.col("g") / F.col("r")).alias("ratio"))
+    reps = weights.join(units, [*keys, "__idx"]).groupBy(*keys, "rep").agg(mean("__g").alias("__g"), mean("__r").alias("__r"))
+    ratio = reps.select(*keys, F.when(F.col("__r") > 0, F.col("__g") / F.col("__r")).alias("ratio"))
     limits = percentile_ci(ratio, keys, "ratio")
-    point = units.groupBy(*keys).agg(F.count("g").alias("n_units"), F.avg("g").alias("mean_num"),
-                                     F.avg("r").alias("mean_den"), F.sum("r").alias("sum_den"))
+    point = units.groupBy(*keys).agg(F.count("__g").alias("n_units"), F.avg("__g").alias("mean_num"),
+                                     F.avg("__r").alias("mean_den"), F.sum("__r").alias("sum_den"))
     joined = point.join(limits, keys) if keys else point.withColumns(
         {c: limits.select(c).scalar() for c in ("n_reps", "ci_low", "ci_high")})
     ok = F.col("n_reps") >= 10
