@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from episcope.functions.expr import hashed_unit
 from episcope.operators.ordered import positions, quantiles
+from episcope.session import durable
 
 SAMPLE = 256
 TREE_SCHEMA = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, length array<double>"
@@ -63,8 +65,7 @@ class Forest:
 def fit_forest(train: DataFrame, key: str, features: Sequence[str], n_trees: int = 500, seed: int = 88) -> Forest:
     """Grow the trees, one task group per tree with at most 256 sampled rows each.
 
-    Rows are numbered in key order; tree t takes the rows whose numbers are drawn by hash, so the sample is the same on
-    any cluster. Up to 256 training rows are used whole by every tree.
+    Tree t takes the rows whose hash-order numbers are drawn by hash, so the sample is the same on any cluster. Up to 256 training rows are used whole by every tree.
     """
     cols = list(features)
     rows = train.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
@@ -74,11 +75,15 @@ def fit_forest(train: DataFrame, key: str, features: Sequence[str], n_trees: int
     if n <= SAMPLE:
         sampled = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
     else:
-        drawn = rows.sparkSession.range(n_trees * SAMPLE).select(
+        # A hashed pool of a few times the rows the trees need; only the pool is numbered, the table is just read.
+        need = n_trees * SAMPLE
+        pool = durable(rows.where(hashed_unit(seed, key) < F.lit(min(1.0, max(4.0 * need, 10_000.0) / n))))
+        size = pool.count()
+        drawn = rows.sparkSession.range(need).select(
             (F.col("id") / SAMPLE).cast("int").alias("tree"),
-            (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) + 1).alias("pos")).distinct()
-        hashed = rows.withColumn("__h", F.xxhash64(key, F.lit(seed)).cast("double"))
-        sampled = positions(hashed, [], "__h", "pos", tie=[key]).join(F.broadcast(drawn), "pos")  # trees x 256 rows
+            (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)) + 1).alias("pos")).distinct()
+        numbered = positions(pool.withColumn("__h", hashed_unit(seed + 1, key)), [], "__h", "pos", tie=[key])
+        sampled = numbered.join(F.broadcast(drawn), "pos")  # trees x 256 rows
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])

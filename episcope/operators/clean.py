@@ -149,7 +149,7 @@ def group_code(df: DataFrame, keys: Sequence[str], out: str, small: int = 100_00
     name = F.concat_ws("_", *[F.coalesce(F.col(k).cast("string"), F.lit("NA")) for k in keys])
     named = df.withColumn("__name", name)
     distinct = named.select("__name").distinct()
-    if distinct.limit(small + 1).count() <= small:
+    if distinct.count() <= small:
         coded = distinct.withColumn(out, F.row_number().over(Window.orderBy("__name")).cast("long"))
         return named.join(F.broadcast(coded), "__name", "left").drop("__name")
     mid = F.monotonically_increasing_id()

@@ -101,9 +101,15 @@ def twoway_fe(df: DataFrame, y: str, xs: Sequence[str], unit: str, time: str, cl
     """Coefficients of ``y ~ xs + unit effects + period effects``; equal to the fit with explicit dummies.
 
     Balanced panels need only aggregates. Others are demeaned by alternating projections. ``cluster`` gives standard
-    errors that allow for correlation within a unit.
+    errors that allow for correlation within a unit. The needed columns are written out once, since the sums read them
+    several times.
     """
-    rows = df.dropna(subset=[y, *xs, unit, time])
+    rows = durable(df.select(unit, time, y, *xs).dropna())
+    return _twoway(rows, y, xs, unit, time, cluster)
+
+
+def _twoway(rows: DataFrame, y: str, xs: Sequence[str], unit: str, time: str, cluster: bool = False) -> DataFrame:
+    df = rows
     n, units, periods, balanced = panel_shape(rows, unit, time)
     cols = [y, *xs]
     dof = n - units - periods + 1 - len(xs)
@@ -128,7 +134,7 @@ def one_way_fe(df: DataFrame, y: str, xs: Sequence[str], unit: str) -> DataFrame
 
     A column that never changes within a unit has no coefficient of its own and comes out as zero.
     """
-    rows = df.dropna(subset=[y, *xs, unit])
+    rows = durable(df.select(unit, y, *xs).dropna())
     cols = [y, *xs]
     means = rows.agg(*[F.avg(c) for c in cols]).first()
     shifted = [F.col(c) - F.lit(float(m)) for c, m in zip(cols, means)]
@@ -149,9 +155,10 @@ def event_study(df: DataFrame, y: str, unit: str, time: str, start: str, lo: int
     rel = F.greatest(F.least(F.col(time) - F.col(start), F.lit(hi)), F.lit(lo))
     steps = [k for k in range(lo, hi + 1) if k != omit]
     names = {k: f"rel_{'m' if k < 0 else 'p'}{abs(k)}" for k in steps}
-    coded = df.select(F.col(y).cast("double").alias(y), unit, time, *[
+    base = durable(df.select(F.col(y).cast("double").alias(y), unit, time, start).dropna(subset=[y, unit, time]))
+    coded = base.select(y, unit, time, *[
         F.when(F.col(start).isNotNull() & (rel == k), 1.0).otherwise(0.0).alias(names[k]) for k in steps])
-    table = twoway_fe(coded, y, list(names.values()), unit, time)
+    table = _twoway(coded, y, list(names.values()), unit, time)
     back = F.create_map(*[F.lit(x) for k, v in names.items() for x in (v, k)])
     effects = table.select(F.element_at(back, F.col("term")).alias("rel_time"), "estimate", "se", "ci_low", "ci_high",
                            "p_value")

@@ -18,6 +18,7 @@ from episcope.functions.expr import clip, direction
 from episcope.operators.metrics import regression_metrics
 from episcope.operators.regression import Moments, Ols, moments, ols_fit
 from episcope.operators.windows import detection_gap, first_detection
+from episcope.session import durable
 
 YEAR_DAYS = 365.25
 ORIGIN = "2000-01-01"
@@ -116,20 +117,24 @@ def design(df: DataFrame, date: str, growth: str, order: int, hinges: Sequence[f
     return df.withColumns(cols), list(cols)
 
 
-def _predict(df: DataFrame, fit: Ols, z: float) -> DataFrame:
-    """Projection with its interval for rows that carry the design columns."""
-    p = len(fit.names)
-    x = F.array(F.lit(1.0), *[F.col(c) for c in fit.names[1:]])
+def _fit_literals(fit: Ols) -> list[Column]:
+    """A fit as literal columns: coefficients, flattened covariance and residual variance."""
+    return [F.lit([float(b) for b in fit.beta]).alias("beta"), F.lit([float(v) for v in fit.cov.ravel()]).alias("cov"),
+            F.lit(float(fit.sigma2)).alias("sigma2")]
+
+
+def _interval(df: DataFrame, names: Sequence[str], fold: str, z: float) -> DataFrame:
+    """Projection with its interval for rows that carry the design columns and a fit in the struct ``fold``."""
+    p = len(names) + 1
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    cov = F.lit([float(v) for v in fit.cov.ravel()])
+    x, beta, cov = F.col("__x"), F.col(f"{fold}.beta"), F.col(f"{fold}.cov")
     spread = F.aggregate(
         F.transform(F.sequence(F.lit(0), F.lit(p - 1)),
-                    lambda i: F.element_at(F.col("__x"), i + 1) * dot(F.col("__x"), F.slice(cov, i * p + 1, p))),
+                    lambda i: F.element_at(x, i + 1) * dot(x, F.slice(cov, i * p + 1, p))),
         F.lit(0.0), lambda s, v: s + v)
-    out = df.withColumn("__x", x).withColumn("yhat", dot(F.col("__x"), F.lit([float(b) for b in fit.beta])))
-    half = F.lit(z) * F.sqrt(F.lit(fit.sigma2) + F.greatest(spread, F.lit(0.0)))
-    return out.withColumns({"yhat_lower": F.col("yhat") - half, "yhat_upper": F.col("yhat") + half}).drop(
-        "__x", *fit.names[1:])
+    out = df.withColumn("__x", F.array(F.lit(1.0), *[F.col(c) for c in names])).withColumn("yhat", dot(x, beta))
+    half = F.lit(z) * F.sqrt(F.col(f"{fold}.sigma2") + F.greatest(spread, F.lit(0.0)))
+    return out.withColumns({"yhat_lower": F.col("yhat") - half, "yhat_upper": F.col("yhat") + half}).drop("__x", *names)
 
 
 def fit_baseline(train: DataFrame, date: str, y: str, growth: str = "flat", order: int = 10) -> Ols:
@@ -138,8 +143,8 @@ def fit_baseline(train: DataFrame, date: str, y: str, growth: str = "flat", orde
 
 
 def project(grid: DataFrame, fit: Ols, date: str, growth: str = "flat", order: int = 10, z: float = 1.96) -> DataFrame:
-    coded, _ = design(grid, date, growth, order)
-    return _predict(coded, fit, z)
+    coded, names = design(grid, date, growth, order)
+    return _interval(coded.withColumn("__fit", F.struct(*_fit_literals(fit))), names, "__fit", z).drop("__fit")
 
 
 def weekly_grid(df: DataFrame, date: str, extra_weeks: int = 4) -> DataFrame:
@@ -150,7 +155,11 @@ def weekly_grid(df: DataFrame, date: str, extra_weeks: int = 4) -> DataFrame:
 
 def seasonal_forecast(df: DataFrame, date: str, y: str, train: Column, growth: str = "flat", order: int = 10,
                       extra_weeks: int = 4, keep: Sequence[str] = ()) -> DataFrame:
-    """Fit on the training rows, project every week of the grid, and put the observations next to it."""
+    """Fit on the training rows, project every week of the grid, and put the observations next to it.
+
+    The weekly series is written out once; it is small and read four times.
+    """
+    df = durable(df)
     fit = fit_baseline(df.where(train), date, y, growth, order)
     grid = project(weekly_grid(df, date, extra_weeks), fit, date, growth, order)
     return grid.join(df.select(date, y, *keep), date, "left").withColumn("gap", F.col(y) - F.col("yhat"))
@@ -181,6 +190,7 @@ def gap_side_by_side(flat: DataFrame, linear: DataFrame, key: str = "season", pa
 
 def holdout(df: DataFrame, date: str, y: str, train: Column, test: Column, growth: str = "flat", order: int = 10) -> DataFrame:
     """Observed, predicted and residual for held-out rows."""
+    df = durable(df)
     fit = fit_baseline(df.where(train), date, y, growth, order)
     rows = project(df.where(test & F.col(y).isNotNull()).select(date, y), fit, date, growth, order)
     return rows.select(date, F.col(y).alias("observed"), F.col("yhat").alias("predicted"),
@@ -238,6 +248,7 @@ def leave_one_out(df: DataFrame, date: str, y: str, season: str, train: Column,
 
     Cross-products are added up once per season; a fold is the total minus one season, so nothing is refitted from rows.
     """
+    df = durable(df)
     coded, names = design(df.where(train & F.col(y).isNotNull()), date, growth, order)
     cols = [y, *names]
     parts = _season_moments(coded, season, cols)
@@ -249,16 +260,16 @@ def leave_one_out(df: DataFrame, date: str, y: str, season: str, train: Column,
         cross = sum(v[2] for v in kept) - n * np.outer(mean, mean)
         return ols_fit(Moments(int(n), cols, mean, cross), y, names)
 
-    later = df.where((F.col(date) > F.lit(after).cast("date")) & F.col(y).isNotNull()).select(date, y).persist()
-    full = first_detection(project(later, solve(None), date, growth, order), date, y, "yhat_upper", after)
-    base = full.scalar()
-    out = None
-    for s in sorted(parts):
-        row = first_detection(project(later, solve(s), date, growth, order), date, y, "yhat_upper", after).select(
-            F.lit(s).alias("excluded_season"), F.lit(len(parts) - 1).alias("n_train_seasons"), "first_detection")
-        out = row if out is None else out.unionByName(row)
-    weeks = (F.datediff(F.col("first_detection"), base) / F.lit(7.0)).cast("int")
-    return out.withColumn("gap_weeks", weeks).withColumn(
+    later = df.where((F.col(date) > F.lit(after).cast("date")) & F.col(y).isNotNull()).select(date, y)
+    folds = F.array(*[F.struct(F.lit(s or "").alias("s"), *_fit_literals(solve(s))) for s in [None, *sorted(parts)]])
+    every, _ = design(later.withColumn("__fold", F.explode(folds)), date, growth, order)
+    found = first_detection(_interval(every, names, "__fold", 1.96).withColumn("excluded_season", F.col("__fold.s")),
+                            date, y, "yhat_upper", after, ["excluded_season"])
+    full = found.where("excluded_season = ''").select("first_detection").scalar()
+    out = found.where("excluded_season <> ''").select(
+        "excluded_season", F.lit(len(parts) - 1).alias("n_train_seasons"), "first_detection",
+        (F.datediff(F.col("first_detection"), full) / F.lit(7.0)).cast("int").alias("gap_weeks"))
+    return out.withColumn(
         "direction", F.when(F.col("gap_weeks").isNull(), "—").otherwise(direction("gap_weeks", "Later", "Earlier", "Same")))
 
 
@@ -269,7 +280,7 @@ def trend_changes(train: DataFrame, date: str, y: str, n_changes: int = 15, shar
     Hinge terms join the seasonal regression under a ridge penalty of residual variance / ``scale`` squared, with the
     series scaled to its largest absolute value and time to the training span.
     """
-    rows = train.where(F.col(y).isNotNull())
+    rows = durable(train.where(F.col(y).isNotNull()))
     probs = [share * (i + 1) / n_changes for i in range(n_changes)]
     head = rows.agg(F.percentile(_day(date), probs), F.max(F.abs(y)), F.max(_day(date)) - F.min(_day(date))).first()
     days, top, span = [math.floor(v) for v in head[0]], float(head[1]), float(head[2]) / YEAR_DAYS

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from episcope.functions import dist
 from episcope.functions.expr import ladder
-from episcope.operators.ordered import quantiles, running_totals
+from episcope.operators.ordered import range_cuts, running_totals
 from episcope.operators.tabulate import drop_null_keys
 
 
@@ -60,15 +60,21 @@ def rank_table(df: DataFrame, keys: Sequence[str], value: str, first: Column, de
     Everything that ranks (U statistic, ROC area, average precision) reads this table. Rows are counted per value
     before any ordering, and the running counts are carried across value ranges.
     """
-    counted = drop_null_keys(df, [*keys, value]).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(
+    present = drop_null_keys(df, [*keys, value])
+    counted = present.groupBy(*keys, F.col(value).cast("double").alias("value")).agg(
         F.count_if(first).alias("n_first"), F.count_if(~first).alias("n_second"))
     both = counted.withColumn("n", F.col("n_first") + F.col("n_second"))
-    return running_totals(both, keys, "value", {"cum_first": "n_first", "cum_second": "n_second"}, descending)
+    return running_totals(both, keys, "value", {"cum_first": "n_first", "cum_second": "n_second"}, descending,
+                          cuts=range_cuts(present, value))
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, a, b, keys: Sequence[str] = ()) -> DataFrame:
     """Mann-Whitney U of group ``a``: average ranks for ties, normal tail with tie and continuity correction."""
-    ranks = rank_table(df.where(F.col(group).isin(a, b)), keys, value, F.col(group) == F.lit(a))
+    return u_test(rank_table(df.where(F.col(group).isin(a, b)), keys, value, F.col(group) == F.lit(a)), keys)
+
+
+def u_test(ranks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The U statistic and its p-value from a :func:`rank_table`."""
     cum, n = F.col("cum_first") + F.col("cum_second"), F.col("n").cast("double")
     midrank = cum - n + (n + 1) / 2
     sums = ranks.groupBy(*keys).agg(
@@ -128,16 +134,29 @@ def chi2_test(df: DataFrame, a: str, b: str) -> DataFrame:
         "cramers_v"), dist.chi2_p_value(F.col("chi2"), F.col("dof").cast("double")).alias("p_value"))
 
 
+def _side_quartiles(ranks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Exact quartiles of both sides per variable, read off the running counts of a rank table."""
+    joined = ranks.join(F.broadcast(sizes), "variable")  # one row per variable
+    picks, out = [], []
+    for side, col in (("a", "first"), ("b", "second")):
+        last, first = F.col(f"cum_{col}") - 1, F.col(f"cum_{col}") - F.col(f"n_{col}")
+        for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            rank = (F.col(f"n_{side}") - 1) * F.lit(p)
+            for end, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+                picks.append(F.max(F.when((first <= at) & (at <= last), F.col("value"))).alias(f"{end}_{name}_{side}"))
+            part = (F.col(f"n_{side}") - 1) * p % 1
+            low, high = F.col(f"lo_{name}_{side}"), F.col(f"hi_{name}_{side}")
+            out.append((low + part * (high - low)).alias(f"{name}_{side}"))
+    return joined.groupBy("variable", "n_a", "n_b").agg(*picks).select("variable", *out)
+
+
 def feature_report(df: DataFrame, outcome: str, cols: Sequence[str]) -> DataFrame:
     """Per continuous feature: moments and quartiles by outcome (1 against 0), t-test, U test and effect size."""
     long = stack_columns(df.where(F.col(outcome).isin(0, 1)), [outcome], cols)
     base = _welch(_two_groups(df, outcome, cols, 1, 0))
-    quart = quantiles(long, ["variable", outcome], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    wide = quart.groupBy("variable").agg(*[
-        F.max(F.when(F.col(outcome) == level, F.col(q))).alias(f"{q}_{side}")
-        for side, level in (("a", 1), ("b", 0)) for q in ("q1", "median", "q3")])
-    u = mann_whitney(long, outcome, "value", 1, 0, keys=["variable"]).select(
-        "variable", "u", F.col("p_value").alias("u_p_value"))
+    ranks = rank_table(long, ["variable"], "value", F.col(outcome) == 1)
+    wide = _side_quartiles(ranks, base.select("variable", "n_a", "n_b"))
+    u = u_test(ranks, ["variable"]).select("variable", "u", F.col("p_value").alias("u_p_value"))
     d = -_pooled_d()  # cases minus non-cases
     return (base.join(wide, "variable").join(u, "variable")
             .withColumns({"sd_a": F.sqrt("var_a"), "sd_b": F.sqrt("var_b"), "cohens_d": d,

@@ -9,42 +9,54 @@ from pyspark.sql import functions as F
 
 from episcope.functions.expr import is_true
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 256 << 20
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Check the size before a broadcast: reads at most ``rows + 1`` rows of one column."""
-    return df.select(df.columns[0]).limit(rows + 1).count() <= rows
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row: text and arrays by their length, other columns at 16 bytes."""
+    total = F.lit(0).cast("long")
+    for c, t in df.dtypes:
+        if t in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) + 16
+        elif t.startswith("array"):
+            total = total + F.coalesce(F.size(F.col(f"`{c}`")), F.lit(0)) * 16 + 16
+        else:
+            total = total + 16
+    return total
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Check rows and bytes before a broadcast: one aggregate over the table."""
+    found = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
+    return found[0] <= rows and found[1] <= size
+
+
+def hot_keys(df: DataFrame, keys: str | Sequence[str], share: float = 0.01) -> list[tuple]:
     """Keys that hold more than ``share`` of the rows. There are fewer than ``1 / share`` of them by arithmetic."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = df.select(F.count(F.lit(1))).scalar()
-    return [r[0] for r in counts.where(F.col("__n") > total * F.lit(share)).select(key).collect()]
+    return [tuple(r) for r in counts.where(F.col("__n") > total * F.lit(share)).select(*keys).collect()]
 
 
 def enrich(df: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "left",
-           rows: int = BROADCAST_ROWS, hot: Sequence | None = None) -> DataFrame:
+           rows: int = BROADCAST_ROWS, share: float = 0.01) -> DataFrame:
     """Join detail rows to a table with unique keys.
 
-    A dimension of at most ``rows`` rows (checked) is broadcast. A larger one is joined by shuffle; for a single key
-    the rows of hot keys are set apart and meet the few matching dimension rows by broadcast, so that no shuffle
-    partition carries a hot key.
+    A dimension within the checked broadcast size is broadcast. A larger one is joined by shuffle, and the rows of hot
+    keys are set apart: they meet the few matching dimension rows by broadcast, so no shuffle partition carries a hot
+    key.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(dim, rows):
         return df.join(F.broadcast(dim), keys, how)
-    if len(keys) > 1:
-        return df.join(dim, keys, how)
-    key = keys[0]
-    hot = hot_keys(df, key) if hot is None else list(hot)
+    hot = hot_keys(df, keys, share)
     if not hot:
         return df.join(dim, keys, how)
-    is_hot = F.coalesce(F.col(key).isin(*hot), F.lit(False))
-    cold = df.where(~is_hot).join(dim, keys, how)
-    few = dim.where(F.col(key).isin(*hot))
-    return cold.unionByName(df.where(is_hot).join(F.broadcast(few), keys, how))
+    marks = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*keys).schema))  # fewer than 1 / share rows
+    apart, few = df.join(marks, keys, "left_semi"), dim.join(marks, keys, "left_semi")
+    rest = df.join(marks, keys, "left_anti")
+    return rest.join(dim, keys, how).unionByName(apart.join(F.broadcast(few), keys, how))
 
 
 def new_rows(df: DataFrame, known: DataFrame, key: str) -> DataFrame:

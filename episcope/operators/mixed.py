@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episcope.functions import dist
+from episcope.session import durable
 
 TERM_SCHEMA = ("term string, estimate double, se double, ci_low double, ci_high double, z double, p_value double")
 
@@ -57,9 +58,12 @@ def lmm_fit(df: DataFrame, y: str, xs: Sequence[str], group: str, grid: int = 25
     cols = [f"c{i}" for i in range(len(xs) + 2)]
     p, k = len(xs) + 1, len(cols)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    total = _symmetric(rows.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs]).first(), k)
-    groups = rows.groupBy(group).agg(*[F.sum(c).alias(c) for c in cols]).persist()
-    n, n_groups = int(total[0, 0]), groups.count()
+    # One pass: sums and cross-products per group, written out because every round reads them.
+    groups = durable(rows.groupBy(group).agg(*[F.sum(c).alias(c) for c in cols],
+                                             *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"p{i}_{j}") for i, j in pairs]))
+    head = groups.agg(F.count(F.lit(1)), *[F.sum(f"p{i}_{j}") for i, j in pairs]).first()
+    n_groups, total = head[0], _symmetric(head[1:], k)
+    n = int(total[0, 0])
 
     def profile(ratios: Sequence[float]) -> list[tuple]:
         r, size = F.col("r"), F.col("c0")
@@ -86,7 +90,6 @@ def lmm_fit(df: DataFrame, y: str, xs: Sequence[str], group: str, grid: int = 25
         best = scored[at]
         low, high = scored[max(at - 1, 0)][1], scored[min(at + 1, len(scored) - 1)][1]
         ratios = [float(x) for x in np.linspace(low, high, grid)]
-    groups.unpersist()
     _, r, beta, cov, s2 = best
     return MixedFit(["intercept", *xs], beta, cov, {group: r * s2}, s2, n, {group: n_groups})
 
@@ -159,7 +162,8 @@ def glmm_binomial_fit(df: DataFrame, y: str, xs: Sequence[str], groups: Sequence
         *groups, F.lit(1.0).alias("x0"), *[F.col(c).cast("double").alias(f"x{i + 1}") for i, c in enumerate(xs)],
         F.col(y).cast("double").alias("y"))
     # Equal rows count once with their frequency, so later passes read a smaller table.
-    rows = rows.groupBy(*groups, *xcols, "y").agg(F.count(F.lit(1)).cast("double").alias("f")).persist()
+    rows = rows.groupBy(*groups, *xcols, "y").agg(F.count(F.lit(1)).cast("double").alias("f"))
+    rows = durable(rows)
     cells = rows.select(*groups).distinct().limit(max_cells + 1).collect()
     if len(cells) > max_cells:
         raise ValueError("too many combinations of group levels; group over categories, not over row identifiers")
@@ -218,7 +222,6 @@ def glmm_binomial_fit(df: DataFrame, y: str, xs: Sequence[str], groups: Sequence
         new = np.concatenate([beta, [variances[g] for g in groups]])
         if np.max(np.abs(new - old) / np.maximum(np.abs(old), 0.1)) < tol:
             break
-    rows.unpersist()
     return MixedFit(["intercept", *xs], beta, inv[:p, :p], dict(variances), None, n, {g: len(levels[g]) for g in groups})
 
 

@@ -31,7 +31,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int, n_pivots: int = 64, block: int = 2048) -> DataFrame:
+def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int, n_pivots: int = 64, block: int = 8192) -> DataFrame:
     """The k nearest points of every query, itself left out: columns ``qid, rank, pid, dist``.
 
     Both frames have a unique ``id`` (long) and a ``vec`` (array of doubles). Ties go to the smaller id. The result is
@@ -86,12 +86,16 @@ def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int, n_pivots:
         pid = p["id"].to_numpy()
         p_order = pid.argsort()
         pid, points_m = pid[p_order], _matrix(p["vec"])[p_order]
-        d = np.round(_distances(_matrix(q["vec"]), points_m), 9)
-        d[q["qid"].to_numpy()[:, None] == pid[None, :]] = np.inf
-        take = min(k, d.shape[1])
-        at = np.argsort(d, axis=1, kind="stable")[:, :take]
-        out = pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy(), take), "pid": pid[at].ravel(),
-                            "dist": np.take_along_axis(d, at, 1).ravel()})
+        qid, queries_m = q["qid"].to_numpy(), _matrix(q["vec"])
+        take, parts = min(k, len(pid)), []
+        for lo in range(0, len(qid), 1024):  # bounds the distance matrix of one step
+            some = qid[lo:lo + 1024]
+            d = np.round(_distances(queries_m[lo:lo + 1024], points_m), 9)
+            d[some[:, None] == pid[None, :]] = np.inf
+            at = np.argsort(d, axis=1, kind="stable")[:, :take]
+            parts.append(pd.DataFrame({"qid": np.repeat(some, take), "pid": pid[at].ravel(),
+                                       "dist": np.take_along_axis(d, at, 1).ravel()}))
+        out = pd.concat(parts)
         return out[np.isfinite(out["dist"])]
 
     keys = ["cell", "blk", "batch"]

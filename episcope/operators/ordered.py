@@ -29,19 +29,29 @@ def _order_number(df: DataFrame, col: str) -> Column:
 
 
 def range_count(df: DataFrame) -> int:
-    """Number of order ranges: one per shuffle partition, at least 8."""
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Number of order ranges: one per shuffle partition, between 8 and 2000."""
+    return min(2000, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def with_ranges(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
-    """Add the range number of ``order``. One bounded driver step: at most ``parts`` cut points are read back."""
+def range_cuts(df: DataFrame, order: str, parts: int | None = None) -> list[float]:
+    """Cut points that split the rows into ranges of about equal size. Driver step: at most ``parts`` numbers.
+
+    Sketches are merged in 256 groups first and then once more, so no task receives a sketch from every input
+    partition. The cuts steer balance only; results are exact for any cuts.
+    """
     parts = parts or range_count(df)
-    numbered = df.withColumn(_ORDER, _order_number(df, order))
     probs = [i / parts for i in range(1, parts)]
-    cuts = numbered.select(F.percentile_approx(_ORDER, probs, F.lit(max(1000, 20 * parts)))).first()[0] or [0.0]
-    splits = [-float("inf"), *sorted({float(c) for c in cuts if c == c}), float("inf")]
-    if len(splits) == 2:
-        splits.insert(1, 0.0)
+    numbered = df.select(_order_number(df, order).alias(_ORDER), (F.spark_partition_id() % 256).alias("__g"))
+    first = numbered.where(F.col(_ORDER).isNotNull()).groupBy("__g").agg(
+        F.percentile_approx(_ORDER, probs, F.lit(2 * parts + 100)).alias("c"))
+    cuts = first.select(F.explode("c").alias("c")).agg(F.percentile_approx("c", probs, F.lit(2 * parts + 100))).first()[0]
+    return sorted({float(c) for c in cuts or [] if c == c})
+
+
+def with_ranges(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
+    """Add the range number of ``order``."""
+    numbered = df.withColumn(_ORDER, _order_number(df, order))
+    splits = [-float("inf"), *(cuts or [0.0]), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol=_ORDER, outputCol=_BUCKET, handleInvalid="keep").transform(numbered)
     return bucketed.withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(_ORDER)
 
@@ -58,13 +68,15 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, str], descending: bool = False,
-                   tie: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+                   tie: Sequence[str] = (), cuts: Sequence[float] | None = None) -> DataFrame:
     """Inclusive running sums ``{out: col}`` per key along ``order``, exact for groups of any size.
 
-    Rows that share an order value need ``tie`` columns, or should be added up beforehand.
+    Rows that share an order value need ``tie`` columns, or should be added up beforehand. A range holds at most its
+    share of all rows, so a key with a third of the table is spread over a third of the ranges. Pass ``cuts`` when they
+    can be taken from a cheaper frame than ``df``.
     """
     keys = list(keys)
-    ranged = with_ranges(df, order, parts)
+    ranged = with_ranges(df, order, range_cuts(df, order) if cuts is None else cuts)
     cell = [*keys, _BUCKET]
     totals = ranged.groupBy(cell).agg(*[F.sum(c).alias(f"__t_{o}") for o, c in cols.items()])
     by_range = F.col(_BUCKET).desc() if descending else F.col(_BUCKET)
@@ -80,10 +92,10 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, cols: dict[st
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: str, out: str = "pos", tie: Sequence[str] = (),
-              parts: int | None = None) -> DataFrame:
+              cuts: Sequence[float] | None = None) -> DataFrame:
     """1-based row number per key along ``order`` (then ``tie``)."""
     counted = running_totals(df.withColumn("__one", F.lit(1).cast("long")), keys, order, {out: "__one"},
-                             tie=tie, parts=parts)
+                             tie=tie, cuts=cuts)
     return counted.drop("__one")
 
 
@@ -117,7 +129,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, flo
     for k in keys:
         present = present.where(F.col(k).isNotNull())
     counts = present.groupBy(*keys, F.col(col).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    running = running_totals(counts, keys, "__v", {"__cum": "__n"})
+    running = running_totals(counts, keys, "__v", {"__cum": "__n"}, cuts=range_cuts(present, col))
     if keys:
         ranked = _join_on(running, counts.groupBy(*keys).agg(F.sum("__n").alias("__total")), keys)
     else:

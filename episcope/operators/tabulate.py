@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episcope.functions.expr import all_of, flag, is_true, ladder
+from episcope.operators.joins import enrich
 from episcope.operators.ordered import quantiles, windowed
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -202,7 +203,7 @@ def coverage(df: DataFrame, keys: Sequence[str], index: str, value: str, short:
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows whose key occurs more than once."""
     repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    return df.join(repeated, list(keys), "left_semi")
+    return enrich(df, repeated, keys, how="left_semi")
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -317,7 +318,7 @@ def mean_ci(df: DataFrame, keys: Sequence[str], value: str, z: float = 1.96) ->
                                  (F.avg(value) - half).alias("ci_low"), (F.avg(value) + half).alias("ci_high"))
 
 
-def box_stats(df: DataFrame, keys: Sequence[str], value: str, hot: Sequence | None = None) -> DataFrame:
+def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers at the last value inside 1.5 IQR, and the number of outliers per group.
 
     The second pass runs over counted distinct values, which the quartile pass needs anyway.

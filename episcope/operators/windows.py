@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from episcope.operators.joins import enrich
 from episcope.operators.ordered import running_totals, windowed
 
 
@@ -50,11 +51,15 @@ def lags(df: DataFrame, keys: Sequence[str], order: str, value: str, ns: Sequenc
     return _apply(df, keys, order, max(ns), exprs, bounded, tie)
 
 
-def dense_position(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:
+def dense_position(df: DataFrame, keys: Sequence[str], order: str, out: str, bounded: bool = False) -> DataFrame:
     """Dense rank of ``order`` per key, taken over its distinct values and joined back."""
-    levels = df.select(*keys, order).distinct().withColumn("__one", F.lit(1).cast("long"))
-    ranked = running_totals(levels, keys, order, {out: "__one"}).drop("__one")
-    return df.join(ranked, [*keys, order], "left")
+    levels = df.select(*keys, order).distinct()
+    if bounded:
+        window = Window.partitionBy(*keys).orderBy(order)
+        ranked = levels.withColumn(out, F.row_number().over(window).cast("long"))
+    else:
+        ranked = running_totals(levels.withColumn("__one", F.lit(1).cast("long")), keys, order, {out: "__one"}).drop("__one")
+    return enrich(df, ranked, [*keys, order])
 
 
 def keep_max(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str]) -> DataFrame:

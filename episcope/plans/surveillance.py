@@ -90,7 +90,7 @@ def add_features(df: DataFrame, dims: Sequence[str] = DIMS, order: str = "week")
     """
     overall = all_of([F.col(d) == TOTAL for d in dims])
     rows = resolve_duplicates(df, overall, ["epiweek_date", *dims], "weekly_rate", ["season", "week"])
-    rows = dense_position(rows, ["season"], "week", "season_week_num")
+    rows = dense_position(rows, ["season"], "week", "season_week_num", bounded=True)
     weeks = df.groupBy("season").agg(F.countDistinct("week").alias("n_weeks_in_season"))
     rows = rows.join(F.broadcast(weeks), "season", "left")  # one row per season
     rows = rows.withColumns({
@@ -119,19 +119,24 @@ def panels(df: DataFrame, dims: Sequence[str] = DIMS) -> dict[str, DataFrame]:
     return out
 
 
-def phase_table(df: DataFrame, phase: str, label: str, value: str | None = None, season: str = "season",
-                week: str = "week", weekly: str = "weekly_rate", cumulative: str = "cum_rate",
-                suppressed: Sequence[str] = (SUPPRESSED_SEASON,), active: float = ACTIVE_RATE) -> DataFrame:
-    """Numeric Table 1 rows: per phase and stratum value, two levels of aggregation.
+def phase_table(df: DataFrame, phase: str, label: str, value: str | None = None, **columns) -> DataFrame:
+    """Numeric Table 1 rows for one stratum variable of an already filtered frame."""
+    stratum_value = F.lit(TOTAL) if value is None else F.col(value)
+    return _phase_rows(df.withColumns({"stratum_variable": F.lit(label), "stratum_value": stratum_value}), phase, **columns)
+
+
+def _phase_rows(df: DataFrame, phase: str, season: str = "season", week: str = "week", weekly: str = "weekly_rate",
+                cumulative: str = "cum_rate", suppressed: Sequence[str] = (SUPPRESSED_SEASON,),
+                active: float = ACTIVE_RATE) -> DataFrame:
+    """Per phase and stratum value, two levels of aggregation.
 
     Suppressed seasons count towards the number of seasons and the cumulative rate, not towards weekly summaries.
     """
-    stratum_value = F.lit(TOTAL) if value is None else F.col(value)
     open_week = ~F.col(season).isin(*suppressed) if suppressed else F.lit(True)
-    rows = df.select(F.col(phase).alias("phase"), stratum_value.alias("stratum_value"), F.col(season).alias("season"),
+    rows = df.select("stratum_variable", "stratum_value", F.col(phase).alias("phase"), F.col(season).alias("season"),
                      F.col(week).alias("week"), F.when(open_week, F.col(weekly)).alias("weekly"),
                      open_week.alias("open"), F.col(cumulative).alias("cum"))
-    keys = ["phase", "stratum_value"]
+    keys = ["phase", "stratum_variable", "stratum_value"]
     per_season = rows.groupBy(*keys, "season").agg(
         F.max("weekly").alias("peak"),
         F.max("cum").alias("cum"),
@@ -145,7 +150,7 @@ def phase_table(df: DataFrame, phase: str, label: str, value: str | None = None,
     weeks = rows.groupBy(*keys).agg(
         F.count("weekly").alias("n_weeks_obs"), *_quartiles("weekly"),
         F.avg("weekly").alias("weekly_mean"), F.stddev_samp("weekly").alias("weekly_sd"))
-    return seasons.join(weeks, keys).withColumn("stratum_variable", F.lit(label))
+    return seasons.join(weeks, keys)
 
 
 def _quartiles(col: str) -> list[Column]:
@@ -155,15 +160,20 @@ def _quartiles(col: str) -> list[Column]:
 
 def table_one(df: DataFrame, strata: Mapping[str, tuple[str | None, Sequence[str]]], phase: str = "phase",
               dims: Sequence[str] = DIMS, **columns) -> DataFrame:
-    """Table 1 over several strata; ``strata`` maps a label to (dimension, wanted values)."""
-    out = None
+    """Table 1 over several strata; ``strata`` maps a label to (dimension, wanted values).
+
+    Every row is told the strata it belongs to, so all strata share the same two aggregates and one reading of the table.
+    """
+    homes = []
     for label, (dim, values) in strata.items():
-        rows = stratum(df, dims, free=[dim] if dim else [])
+        inside = all_of([F.col(d) == TOTAL for d in dims if d != dim])
         if dim:
-            rows = rows.where(F.col(dim).isin(*values))
-        part = phase_table(rows, phase, label, dim, **columns)
-        out = part if out is None else out.unionByName(part)
-    return out
+            inside = inside & F.col(dim).isin(*values)
+        home = F.struct(F.lit(label).alias("stratum_variable"),
+                        (F.col(dim) if dim else F.lit(TOTAL)).alias("stratum_value"))
+        homes.append(F.when(inside, home))
+    placed = df.withColumn("__home", F.explode(F.array_compact(F.array(*homes)))).select("*", "__home.*").drop("__home")
+    return _phase_rows(placed, phase, **columns)
 
 
 def table_one_cells(table: DataFrame) -> DataFrame:

@@ -73,12 +73,12 @@ def _returned(spark, sf):
 
 @query("logit_table")
 def logit_table(spark, sf):
-    return regression.logit_table(_returned(spark, sf), "returned", ["open", "quantity", "discounted"])
+    return regression.logit_table(_returned(spark, sf), "returned", ["open", "quantity", "discounted"], collapse=True)
 
 
 @query("logit_fit")
 def logit_fit(spark, sf):
-    return regression.logit_fit(_returned(spark, sf), "returned", ["open", "quantity", "discounted"])
+    return regression.logit_fit(_returned(spark, sf), "returned", ["open", "quantity", "discounted"], collapse=True)
 
 
 @query("odds_ratio_binary", """WITH c AS (SELECT CAST(count(*) FILTER (WHERE r AND o) AS DOUBLE) AS a,
