@@ -125,8 +125,8 @@ def score_forest(df: DataFrame, forest: Forest, out: str = "anomaly_score") -> D
 
 
 def contamination_cuts(train_scores: DataFrame, levels: Sequence[float], score: str = "anomaly_score") -> DataFrame:
-    """One row: the training-score quantile of every contamination level."""
-    return quantiles(train_scores, [], score, {f"c{i}": c for i, c in enumerate(levels)})
+    """One row: the training-score quantile of every contamination level. The scores are written out, not recomputed."""
+    return quantiles(durable(train_scores.select(score)), [], score, {f"c{i}": c for i, c in enumerate(levels)})
 
 
 def isolation_forest(train: DataFrame, df: DataFrame, key: str, features: Sequence[str], n_trees: int = 500,

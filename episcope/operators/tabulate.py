@@ -321,19 +321,18 @@ def mean_ci(df: DataFrame, keys: Sequence[str], value: str, z: float = 1.96) ->
 def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers at the last value inside 1.5 IQR, and the number of outliers per group.
 
-    The second pass runs over counted distinct values, which the quartile pass needs anyway.
+    Two passes: the quartiles, then one aggregate over the rows with their group's fences next to them.
     """
     quart = quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    counted = drop_null_keys(df, [*keys, value]).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n"))
-    joined = counted.join(quart, list(keys))
+    rows = drop_null_keys(df.select(*keys, F.col(value).cast("double").alias("__v")), [*keys, "__v"])
+    joined = enrich(rows, quart, keys, how="inner")
     iqr = F.col("q3") - F.col("q1")
-    inside = F.col("v").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
-    return joined.groupBy(*keys, "q1", "median", "q3").agg(
-        F.sum("n").alias("n"),
-        F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_outliers"))
+    inside = F.col("__v").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
+    return joined.groupBy(*keys).agg(
+        *[F.max(q).alias(q) for q in ("q1", "median", "q3")], F.count(F.lit(1)).alias("n"),
+        F.min(F.when(inside, F.col("__v"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("__v"))).alias("whisker_high"),
+        F.count_if(~inside).alias("n_outliers"))
 
 
 # --- curves and correlation -------------------------------------------------------------------------------------
