@@ -23,6 +23,10 @@ def _order_number(df: DataFrame, col: str) -> Column:
     dtype = dict(df.dtypes)[col]
     if dtype == "date":
         return F.unix_date(col).cast("double")
+    if dtype == "timestamp_ntz":
+        # Wall-clock parts, since a session time zone would reorder times around a clock change.
+        seconds = F.hour(col) * 3600 + F.minute(col) * 60 + F.expr(f"extract(SECOND FROM `{col}`)").cast("double")
+        return F.unix_date(F.col(col).cast("date")) * F.lit(86400.0) + seconds
     if dtype.startswith("timestamp"):
         return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
     if dtype == "string":
