@@ -156,13 +156,13 @@ def _table_one(spark, sf):
 
 
 @query("table_one", TABLE_ONE + """
-SELECT phase, stratum_variable, stratum_value, n_seasons, n_weeks_obs, round(peak_mean, 6) AS peak_mean,
-  round(peak_sd, 6) AS peak_sd, round(cum_mean, 6) AS cum_mean, round(cum_sd, 6) AS cum_sd, peak_week_q1,
-  peak_week_median, peak_week_q3, duration_q1, duration_median, duration_q3, round(weekly_q1, 6) AS weekly_q1,
-  round(weekly_median, 6) AS weekly_median, round(weekly_q3, 6) AS weekly_q3, round(weekly_mean, 6) AS weekly_mean,
-  round(weekly_sd, 6) AS weekly_sd FROM s JOIN o USING (phase, stratum_variable, stratum_value)""")
+SELECT phase, stratum_variable, stratum_value, n_seasons, n_weeks_obs, round(peak_mean, 9) AS peak_mean,
+  round(peak_sd, 9) AS peak_sd, round(cum_mean, 9) AS cum_mean, round(cum_sd, 9) AS cum_sd, peak_week_q1,
+  peak_week_median, peak_week_q3, duration_q1, duration_median, duration_q3, round(weekly_q1, 9) AS weekly_q1,
+  round(weekly_median, 9) AS weekly_median, round(weekly_q3, 9) AS weekly_q3, round(weekly_mean, 9) AS weekly_mean,
+  round(weekly_sd, 9) AS weekly_sd FROM s JOIN o USING (phase, stratum_variable, stratum_value)""")
 def table_one(spark, sf):
-    return rounded(_table_one(spark, sf), 6)
+    return rounded(_table_one(spark, sf), 9)
 
 
 @query("table_one_cells", TABLE_ONE + """
@@ -215,14 +215,14 @@ c AS (
   SELECT stratum, count(x) AS n_obs, any_value(mu) AS mean, var_samp(x) AS variance,
     avg(power(x - mu, 3)) / power(avg(power(x - mu, 2)), 1.5) AS skewness
   FROM strata JOIN m USING (stratum) GROUP BY 1)
-SELECT stratum, n_obs, round(mean, 5) AS mean, round(variance, 5) AS variance, round(skewness, 5) AS skewness,
-  round(variance / mean, 5) AS vmr, CASE WHEN variance / mean > 2 THEN 'overdispersed — NB appropriate'
+SELECT stratum, n_obs, round(mean, 8) AS mean, round(variance, 8) AS variance, round(skewness, 8) AS skewness,
+  round(variance / mean, 8) AS vmr, CASE WHEN variance / mean > 2 THEN 'overdispersed — NB appropriate'
     ELSE 'near-equidispersion — Poisson acceptable' END AS interpretation
 FROM c WHERE n_obs >= 10""")
 def dispersion(spark, sf):
     total = {d: F.col(d) == "Overall" for d in PANEL_DIMS}
     strata = {"Overall": total["age_cat"] & total["virus_cat"], "Age": total["virus_cat"], "Virus": total["age_cat"]}
-    return rounded(tabulate.dispersion(panel(spark, sf), strata, "weekly_rate"), 5)
+    return rounded(tabulate.dispersion(panel(spark, sf), strata, "weekly_rate"), 8)
 
 
 @query("coverage", f"""WITH {PANEL}
