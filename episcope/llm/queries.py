@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episcope.llm import decontaminate, kdtree, language, mixing, simhash
+from episcope.llm import decontaminate, html, kdtree, language, mixing, neighbours, secrets, simhash, urllists, warc
 from episcope.llm.registry import query, table
 
 #: Target shares of the sources, in hundredths of bytes; every other source is in ``*``.
 WEIGHTS = {"src0": 20, **{f"src{i}": 4 for i in range(1, 20)}, "*": 4}
 BLOCK_BYTES = 1 << 18
 SHARDS = 24
+FIRST_DAY = "2019-01-01"
 
 
 def document_size() -> F.Column:
@@ -23,6 +24,12 @@ def document_coordinates() -> list[F.Column]:
             kdtree.number_coordinate(F.col("n_chars"))]
 
 
+@query("op1_html_text")
+def html_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The visible text of every page."""
+    return table(spark, sf, "pages").select("page_id", "url", html.visible_text(F.col("html")).alias("text"))
+
+
 @query("op2_pfair_mix")
 def pfair_mix(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
@@ -30,11 +37,21 @@ def pfair_mix(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "mix_source", "size", "start", "block", "release", "deadline", "slot", "position")
 
 
+@query("op3_randomness_battery")
+def randomness_battery(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf, "documents"))
+
+
 @query("op4_minhash_containment")
 def minhash_containment(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op5_cross_polytope")
+def cross_polytope(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"))
+
+
 @query("op6_language_fusion")
 def language_fusion(spark: SparkSession, sf: str) -> DataFrame:
     model = language.fit_text_model(table(spark, sf, "documents"))
@@ -52,3 +69,75 @@ def kd_tree_shards(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_simhash_ball")
 def simhash_ball(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+def _number(c: F.Column) -> F.Column:
+    """28 bits of a string's MD5."""
+    return F.conv(F.substring(F.md5(c), 1, 7), 16, 10).cast("long")
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """The pages' addresses with a day of fetch within four years, drawn by the page id."""
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), (_number(F.concat(F.lit("fetch"), F.col("page_id").cast("string"))) % 1460).cast("int"))
+    return pages.select("page_id", "url", day.alias("fetched"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list about the pages: a fifth of all domains, hosts and path prefixes that occur is put on it, taken off and
+    put on again, on days drawn by its name."""
+    named = (pages.select(F.explode(urllists.keys_of(F.col("url"))).alias("x")).select("x.kind", "x.value").distinct()
+             .withColumn("n", _number(F.concat_ws(":", "kind", "value"))).where("n % 5 = 0"))
+    moved = named.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("i", F.col("i").cast("long"))
+    return moved.select(
+        (F.col("n") * 4 + F.col("i")).alias("entry_id"), "kind", "value",
+        F.when(F.col("i") == 1, "remove").otherwise("add").alias("action"),
+        F.when((F.floor(F.col("n") / 5) + F.col("i")) % 4 == 0, "allow").otherwise("block").alias("verdict"),
+        F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("n") % 400 + F.col("i") * (100 + F.col("n") % 301)).cast("int")).alias("day"))
+
+
+URL_SQL = r"""
+WITH pages_ AS (
+  SELECT page_id, url, DATE '2019-01-01' + CAST(CAST('0x' || substr(md5('fetch' || page_id), 1, 7) AS BIGINT) % 1460 AS INT) AS day,
+         lower(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:@]+)', 1)) AS host,
+         [x FOR x IN string_split(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/') IF x <> ''] AS parts
+  FROM pages),
+keyed AS (
+  SELECT page_id, day, 'domain' AS kind, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS value,
+         len(string_split(host, '.')) - i + 1 AS weight
+  FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM pages_ WHERE host <> '')
+  UNION ALL SELECT page_id, day, 'host', host, 1000 FROM pages_ WHERE host <> ''
+  UNION ALL SELECT page_id, day, 'prefix', host || '/' || array_to_string(list_slice(parts, 1, i), '/'), i + 1000000
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM pages_ WHERE host <> '')),
+named AS (
+  SELECT * FROM (SELECT DISTINCT kind, value, CAST('0x' || substr(md5(kind || ':' || value), 1, 7) AS BIGINT) AS n FROM keyed)
+  WHERE n % 5 = 0),
+entries AS (
+  SELECT kind, value, i, CASE WHEN (n // 5 + i) % 4 = 0 THEN 'allow' ELSE 'block' END AS verdict,
+         DATE '2019-01-01' + CAST(n % 400 + i * (100 + n % 301) AS INT) AS valid_from
+  FROM named, (SELECT unnest([0, 1, 2]) AS i)),
+valid AS (
+  SELECT *, lead(valid_from) OVER (PARTITION BY kind, value ORDER BY valid_from) AS valid_to FROM entries),
+best AS (
+  SELECT k.page_id, v.verdict, v.kind, v.value, v.valid_from, v.valid_to,
+         row_number() OVER (PARTITION BY k.page_id ORDER BY k.weight DESC) AS r
+  FROM keyed k JOIN valid v ON k.kind = v.kind AND k.value = v.value AND v.i <> 1 AND k.day >= v.valid_from
+       AND (v.valid_to IS NULL OR k.day < v.valid_to))
+SELECT p.page_id, p.url, p.day AS fetched, coalesce(b.verdict, 'none') AS verdict, b.kind, b.value, b.valid_from, b.valid_to
+FROM pages_ p LEFT JOIN (SELECT * FROM best WHERE r = 1) b USING (page_id)
+"""
+
+
+@query("op9_temporal_lists", URL_SQL)
+def temporal_lists(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return urllists.judge(captures(pages), list_entries(pages))
+
+
+@query("op10_warc_round_trip", """
+SELECT page_id, bytes AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN bytes >= 1000 AND page_id < own THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN bytes >= 1000 AND page_id < own THEN own END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY body) AS own
+      FROM (SELECT page_id, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS bytes FROM pages))""")
+def warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"))

@@ -33,7 +33,7 @@ STEPS, MAX_STEP = 20, 600
 
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)  # never hand it the index too
 
 
 def _total(values: Column) -> Column:
