@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 _TINY = 1e-300
 _EPS = 1e-15
+#: Beyond so many degrees of freedom the continued fraction needs too many terms and its front factor cancels.
+LARGE_DOF = 1e6
 
 
 def _lentz(numerators, start: float = 1.0) -> float:
@@ -81,6 +83,8 @@ def normal_two_sided(z: float) -> float:
 
 
 def t_two_sided(t: float, dof: float) -> float:
+    if dof > LARGE_DOF:  # normal transformation; its error falls with the square of dof
+        return normal_two_sided(t * (1.0 - 0.25 / dof) / math.sqrt(1.0 + t * t / (2.0 * dof)))
     return beta_cdf(dof / (dof + t * t), dof / 2.0, 0.5)
 
 
@@ -89,7 +93,13 @@ def chi2_sf(x: float, dof: float) -> float:
 
 
 def f_sf(x: float, d1: float, d2: float) -> float:
-    return 1.0 if x <= 0 else beta_cdf(d2 / (d2 + d1 * x), d2 / 2.0, d1 / 2.0)
+    if x <= 0:
+        return 1.0
+    if d1 == 1.0:
+        return t_two_sided(math.sqrt(x), d2)
+    if d2 > 100 * LARGE_DOF:  # the chi-square limit; its error falls with d2
+        return chi2_sf(d1 * x, d1)
+    return beta_cdf(d2 / (d2 + d1 * x), d2 / 2.0, d1 / 2.0)
 
 
 def _bisect(fn, target: float, low: float, high: float) -> float:

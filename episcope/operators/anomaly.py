@@ -62,28 +62,31 @@ class Forest:
     trees: list[tuple[np.ndarray, ...]]
 
 
-def fit_forest(train: DataFrame, key: str, features: Sequence[str], n_trees: int = 500, seed: int = 88) -> Forest:
-    """Grow the trees, one task group per tree with at most 256 sampled rows each.
+def fit_forest(train: DataFrame, key: str, features: Sequence[str], n_trees: int = 500, seed: int = 88,
+               sample: int = SAMPLE) -> Forest:
+    """Grow the trees, one task group per tree with ``sample`` rows each (all rows, if there are fewer).
 
-    Tree t takes the rows whose hash-order numbers are drawn by hash, so the sample is the same on any cluster. Up to 256 training rows are used whole by every tree.
+    A tree draws hash-order numbers without replacement, so the sample is the same on any cluster.
     """
     cols = list(features)
     rows = train.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
     n = rows.count()
     if n == 0:
         raise ValueError("no complete training rows")
-    if n <= SAMPLE:
-        sampled = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    else:
-        # A hashed pool of a few times the rows the trees need; only the pool is numbered, the table is just read.
-        need = n_trees * SAMPLE
-        pool = durable(rows.where(hashed_unit(seed, key) < F.lit(min(1.0, max(4.0 * need, 10_000.0) / n))))
-        size = pool.count()
-        drawn = rows.sparkSession.range(need).select(
-            (F.col("id") / SAMPLE).cast("int").alias("tree"),
-            (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)) + 1).alias("pos")).distinct()
-        numbered = positions(pool.withColumn("__h", hashed_unit(seed + 1, key)), [], "__h", "pos", tie=[key])
-        sampled = numbered.join(F.broadcast(drawn), "pos")  # trees x 256 rows
+    # A hashed pool of a few times the rows the trees need; only the pool is numbered, the table is just read.
+    pool = durable(rows.where(hashed_unit(seed, key) < F.lit(min(1.0, max(4.0 * n_trees * sample, 10_000.0) / n))))
+    size = pool.count()
+    per_tree = min(size, sample)
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for tree in frame["id"]:
+                drawn = np.random.default_rng([seed, int(tree), 1]).choice(size, per_tree, replace=False)
+                yield pd.DataFrame({"tree": int(tree), "pos": drawn + 1})
+
+    drawn = rows.sparkSession.range(n_trees).mapInPandas(draw, "tree int, pos long")
+    numbered = positions(pool.withColumn("__h", hashed_unit(seed + 1, key)), [], "__h", "pos", tie=[key])
+    sampled = numbered.join(F.broadcast(drawn), "pos")  # trees x sample rows
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -93,7 +96,7 @@ def fit_forest(train: DataFrame, key: str, features: Sequence[str], n_trees: int
 
     grown = sampled.groupBy("tree").applyInPandas(build, TREE_SCHEMA).toPandas().sort_values("tree")
     trees = [tuple(np.asarray(r[c]) for c in ("feature", "cut", "left", "right", "length")) for _, r in grown.iterrows()]
-    return Forest(cols, min(n, SAMPLE), trees)
+    return Forest(cols, per_tree, trees)
 
 
 def score_forest(df: DataFrame, forest: Forest, out: str = "anomaly_score") -> DataFrame:

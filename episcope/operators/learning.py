@@ -38,7 +38,10 @@ def stratified_split(df: DataFrame, key: str, label: str, fractions: Mapping[str
         hit = F.col("__pos") <= F.round(F.col("__n") * F.lit(share))
         column = F.when(hit, name) if column is None else column.when(hit, name)
     column = F.lit(names[0]) if column is None else column.otherwise(names[-1])
-    return placed.join(F.broadcast(sizes), label).withColumn(out, column).drop("__pos", "__n")  # one row per label
+    sizes = sizes.withColumnRenamed(label, "__label")
+    # Rows without a label are a stratum of their own.
+    return (placed.join(sizes, placed[label].eqNullSafe(sizes["__label"])).withColumn(out, column)
+            .drop("__pos", "__n", "__label"))
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
@@ -61,7 +64,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    return df.join(F.broadcast(class_weights(df, label).select(label, F.col("weight").alias(out))), label)
+    """Add the class weight of each row; rows without a label stay and have none."""
+    return df.join(class_weights(df, label).select(label, F.col("weight").alias(out)), label, "left")
 
 
 def positive_weight(df: DataFrame, label: str, factor: float = 1.0) -> float:
@@ -96,7 +100,7 @@ def preprocessor(categorical: Sequence[str] = (), binary_words: Sequence[str] =
         parts.append("__std")
     if text:
         stages.append(RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"\w\w+", gaps=False))
-        stages.append(CountVectorizer(inputCol="__words", outputCol="__counts"))
+        stages.append(CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=(1 << 31) - 1))
         parts.append("__counts")
     stages.append(VectorAssembler(inputCols=parts, outputCol=out))
     return Pipeline(stages=stages)
@@ -116,6 +120,7 @@ def feature_names(df: DataFrame, col: str = "features") -> list[str]:
 def tree_models(label: str, seed: int = 42, weight: str | None = None, size: float = 1.0) -> dict[str, Estimator]:
     """The four tree models with their published sizes; ``size`` scales the number of trees. The last one is the
     boosted model with more, slower and narrower trees and class weighting."""
+    # The published model sizes.
     n = lambda trees: max(2, int(trees * size))
     w = {"weightCol": weight} if weight else {}
     return {
@@ -197,7 +202,7 @@ def imbalance_table(train: DataFrame, test: DataFrame, key: str, label: str, mod
 
 def text_forest(df: DataFrame, label: str, text: str, numbers: Sequence[str], seed: int = 42, trees: int = 100) -> Model:
     """Multi-class forest on word counts and scaled numbers with balanced class weights; adds ``predicted``."""
-    weighted = with_class_weights(df, label)
+    weighted = with_class_weights(df.where(F.col(label).isNotNull()), label)
     indexer = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(weighted)
     stages = [indexer, *preprocessor(scaled=numbers, text=text).getStages(),
               RandomForestClassifier(labelCol="__y", featuresCol="features", weightCol="weight", numTrees=trees,
@@ -227,8 +232,9 @@ def permutation_importance(model: Transformer, df: DataFrame, key: str, label: s
     out = None
     for i, c in enumerate(columns):
         moved = windowed(df.withColumn("__h", hashed_unit(seed + i, key)), [], "__h", 1,
-                         {"__prev": lambda w, c=c: F.lag(c).over(w)}, tie=[key])
-        mixed = moved.withColumn(c, F.coalesce("__prev", F.col(c))).drop("__prev", "__h")
+                         {"__prev": lambda w, c=c: F.lag(F.struct(F.col(c).alias("v"))).over(w)}, tie=[key])
+        # The first row keeps its value; a null that is shuffled in stays null.
+        mixed = moved.withColumn(c, F.when(F.col("__prev").isNull(), F.col(c)).otherwise(F.col("__prev.v"))).drop("__prev", "__h")
         rows = durable(scored(model, mixed).select(label, "score"))
         part = metrics.auc(rows, label, "score").select(
             F.lit(c).alias("feature"), (F.lit(full) - F.col("roc_auc")).alias("importance"))

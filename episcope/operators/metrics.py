@@ -141,11 +141,11 @@ def threshold_counts(df: DataFrame, label: str, score: str, thresholds: Sequence
                      keys: Sequence[str] = ()) -> DataFrame:
     """Confusion counts at every threshold (score >= threshold is positive).
 
-    Rows are counted once per interval between thresholds; the counts above each threshold are then summed over that
+    Rows whose score is null or NaN are left out. Rows are counted once per interval between thresholds; the counts above each threshold are then summed over that
     histogram, so the cost does not grow with the number of thresholds.
     """
     cuts = sorted(set(float(t) for t in thresholds))
-    rows = df.where(F.col(score).isNotNull()).withColumn("__s", F.col(score).cast("double"))
+    rows = df.withColumn("__s", F.col(score).cast("double")).where(F.col("__s").isNotNull() & ~F.isnan("__s"))
     binned = Bucketizer(splits=[-INF, *cuts, INF], inputCol="__s", outputCol="__b").transform(rows)
     hist = binned.groupBy(*keys, F.col("__b").cast("int").alias("passed")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))

@@ -35,8 +35,8 @@ def _order_number(df: DataFrame, col: str) -> Column:
 
 
 def range_count(df: DataFrame) -> int:
-    """Number of order ranges: one per shuffle partition, between 8 and 2000."""
-    return min(2000, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Number of order ranges: one per shuffle partition, 8 at least. It grows with the cluster's setting without a limit."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def range_cuts(df: DataFrame, order: str, parts: int | None = None) -> list[float]:

@@ -371,3 +371,34 @@ def test_evaluation_reports_every_split(spark, rng):
     fitted = model["DecisionTree"].fit(rows)
     top = learning.importances(fitted, learning.feature_names(rows)).first()
     assert top["importance"] == pytest.approx(1.0)
+
+
+def test_tails_at_many_degrees_of_freedom():
+    for dof in (2e6, 1e10, 1e14):
+        assert dist.t_two_sided(2.0, dof) == pytest.approx(math.erfc(math.sqrt(2.0)), rel=1e-5)
+    d = 1.1e6  # both forms at the same degrees of freedom, just beyond the change
+    assert dist.t_two_sided(2.0, d) == pytest.approx(dist.beta_cdf(d / (d + 4.0), d / 2.0, 0.5), rel=1e-8)
+    assert dist.f_sf(4.0, 1.0, 1e12) == pytest.approx(dist.t_two_sided(2.0, 1e12), rel=1e-12)
+    assert dist.f_sf(3.0, 2.0, 1e12) == pytest.approx(math.exp(-3.0), rel=1e-9)
+
+
+def test_rows_without_a_label_stay_in_the_split(spark):
+    df = spark.range(50).selectExpr("id", "case when id < 30 then 1 when id < 40 then 0 end as y")
+    parts = learning.stratified_split(df, "id", "y", {"train": 0.7, "test": 0.3})
+    found = {(r["y"], r["split"]): r["count"] for r in parts.groupBy("y", "split").count().collect()}
+    assert found == {(1, "train"): 21, (1, "test"): 9, (0, "train"): 7, (0, "test"): 3, (None, "train"): 7, (None, "test"): 3}
+    weighted = learning.with_class_weights(df, "y")
+    assert weighted.count() == 50 and weighted.where("weight is null").count() == 10
+
+
+def test_scores_that_are_no_numbers_are_left_out(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.2), (1, float("nan")), (0, None)], "y int, s double")
+    row = metrics.threshold_counts(df, "y", "s", [0.5]).first()
+    assert (row["tp"], row["fp"], row["tn"], row["fn"]) == (1, 0, 1, 0)
+
+
+def test_trees_draw_without_replacement(spark):
+    df = spark.range(300).selectExpr("id", "cast(id as double) as x")
+    forest = anomaly.fit_forest(df, "id", ["x"], n_trees=4, sample=200)
+    assert forest.sample == 200
+    assert anomaly.fit_forest(df, "id", ["x"], n_trees=2, sample=500).sample == 300
