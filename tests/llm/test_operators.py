@@ -117,6 +117,33 @@ def test_battery_tells_random_tokens_from_names(spark):
     assert len([i for i in found if i < 100]) >= 90 and not [i for i in found if i >= 100]
 
 
+def test_battery_finds_every_alphabet_at_every_length(spark):
+    rng = random.Random(31)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"base36": lower + digits, "BASE36": lower.upper() + digits, "lower": lower, "upper": lower.upper(), "letters": lower + lower.upper(),
+                 "base32": lower.upper() + "234567", "base32 lower": lower + "234567", "HEX": digits + "ABCDEF",
+                 "base62": lower + lower.upper() + digits, "base64": lower + lower.upper() + digits + "+/",
+                 "base64url": lower + lower.upper() + digits + "-_"}
+    made = [(name, n, "".join(rng.choices(a, k=n))) for name, a in alphabets.items() for n in (24, 40, 64, 128) for _ in range(100)]
+    made += [("uuid", 36, "-".join("".join(rng.choices("0123456789abcdef", k=n)) for n in (8, 4, 4, 4, 12))) for _ in range(100)]
+    words = "patient record status update of the weekly laboratory surveillance report from every regional hospital network".split()
+    for _ in range(100):
+        w = [rng.choice(words) for _ in range(rng.randrange(4, 16))]
+        made += [("snake", 0, "_".join(w)), ("path", 0, "/".join(w)), ("camel", 0, w[0] + "".join(x.title() for x in w[1:])),
+                 ("run", 0, "".join(w)), ("digits", 0, str(rng.randrange(10 ** 30)).zfill(30))]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, (_, _, t) in enumerate(made)], "doc_id long, text string").repartition(8)
+    found = {r["doc_id"] for r in secrets.secret_report(docs).collect() if "random" in r["spans"]}
+    got, of = {}, {}
+    for i, (name, n, _) in enumerate(made):
+        of[name, n] = of.get((name, n), 0) + 1
+        got[name, n] = got.get((name, n), 0) + (i in found)
+    for (name, n), hits in got.items():
+        if name in ("snake", "path", "camel", "run", "digits"):
+            assert hits <= 0.02 * of[name, n], (name, hits)
+        else:  # 24 letters alone can look like words
+            assert hits >= (0.75 if n == 24 else 0.85) * of[name, n], (name, n, hits)
+
+
 # 4 decontamination
 
 def brute_contained(docs, items, threshold=0.8):
