@@ -116,11 +116,12 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, probe_share: float = PRO
     A point goes into the bucket of its nearest signed axis in each of ``tables`` tables; a query looks into the buckets of
     its nearest axes, as many as ``probe_share`` of a table has. The default finds well over 0.9 of the true neighbours even
     among vectors without any structure. A bucket is compared as blocks of points and queries of bounded size, and only k
-    rows per query leave a block.
+    rows per query leave a block. A query that finds fewer than ``k`` rows there is compared with every point.
 
     Vectors that are null, zero or hold null or non-finite components, rows without an id and vectors of another length
     than the commonest (ties: the shorter) take no part. A repeated id with the same vector counts once; with several
-    vectors, its best score with each other id counts. An empty table gives an empty result; fewer candidates fewer ranks.
+    vectors, its best score with each other id counts. An empty table gives an empty result; fewer than ``k`` other rows fewer
+    ranks.
     """
     rows = _usable(df, vec_id, vector)
     lengths = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").head()
@@ -134,8 +135,8 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, probe_share: float = PRO
     points = (rows.dropDuplicates(["a", "b", "vec_id"]).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
               .groupBy("a", "b").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("vector").alias("vector")))
     points = durable(_hashed(points, signs, 1, "ids"))
-    asked = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
-    asked = durable(_hashed(asked, signs, probes, "query_id"))
+    own = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
+    asked = durable(_hashed(own, signs, probes, "query_id"))
 
     # How many blocks each bucket needs on either side; a row per bucket.
     bucket = ["tab", "axis"]
@@ -144,9 +145,9 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, probe_share: float = PRO
               .select(*bucket, F.ceil(F.col("np") / BLOCK).cast("int").alias("np"), F.ceil(F.col("nq") / BLOCK).cast("int").alias("nq")))
     blocks = small_side(durable(blocks))
 
-    def dealt(side: DataFrame, own: str, other: str, key: str) -> DataFrame:
+    def dealt(side: DataFrame, mine: str, other: str, key: str) -> DataFrame:
         return (side.join(blocks, bucket)
-                .withColumn(f"{own}_block", F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+                .withColumn(f"{mine}_block", F.pmod(F.xxhash64(key), F.col(mine)).cast("int"))
                 .withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
                 .drop("np", "nq"))
 
@@ -154,6 +155,24 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, probe_share: float = PRO
     found = (dealt(points, "np", "nq", "vec").groupBy(*keys)
              .cogroup(dealt(asked, "nq", "np", "query_id").groupBy(*keys))
              .applyInPandas(_block(k), "query_id long, vec_id long, score double"))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = durable(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+
+    # Queries whose buckets held too few points are compared with every point; each is once in the first table.
+    enough = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+    short = durable(_hashed(own.join(enough, "query_id", "left_anti"), signs[:1], 1, "query_id").select("query_id", "vec"))
+    nq = math.ceil(short.count() / BLOCK)
+    if nq:
+        every_point = points.where("tab = 0").select("ids", "vec")
+        np_ = math.ceil(every_point.count() / BLOCK)
+
+        def crossed(side: DataFrame, mine: str, n: int, other: str, m: int, key: str) -> DataFrame:
+            return side.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(
+                other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+        both = ["np_block", "nq_block"]
+        rest = (crossed(every_point, "np_block", np_, "nq_block", nq, "vec").groupBy(*both)
+                .cogroup(crossed(short, "nq_block", nq, "np_block", np_, "query_id").groupBy(*both))
+                .applyInPandas(_block(k), "query_id long, vec_id long, score double"))
+        best = best.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

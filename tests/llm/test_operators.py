@@ -224,6 +224,23 @@ def test_neighbours_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_are_never_short(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    vectors = {i: centre + rng.normal(size=64) * 1e-3 for i in range(1, 500) if i % 50}
+    vectors |= {50 * i: rng.normal(size=64) for i in range(1, 6)}  # five outliers find at most four of each other
+    tables = [vectors] + [{50 * i: rng.normal(size=64) for i in range(n)} for n in range(2, 7)]
+    for vectors in tables:
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+        got = {}
+        for r in neighbours.nearest(df).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+        truth = brute_nearest(vectors)
+        assert {q: len(x) for q, x in got.items()} == {q: len(x) for q, x in truth.items()}
+        if len(vectors) < 7:
+            assert {q: [x[i + 1] for i in range(len(x))] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in truth.items()}
+
+
 # 6 language
 
 def test_language_of_pages(spark, sf):
