@@ -20,6 +20,10 @@ TEXT_POWER = 0.5
 #: Texts are read in pieces of so many characters.
 PIECE = 1 << 20
 UNKNOWN = "und"
+#: A text fits a language when its log likelihood per trigram lies less than this part of the way from the level of the
+#: language's own labelled text down to that of uniform noise; a short text may miss it by so many standard errors.
+NOISE_SHARE, STANDARD_ERRORS = 0.7, 2.0
+NOISE = -float(np.log(BUCKETS))
 
 
 def _trigrams(text: str):
@@ -38,9 +42,12 @@ def _trigrams(text: str):
 
 @dataclass(frozen=True)
 class TextModel:
-    """Log probabilities of hashed trigrams, a row per language; bounded by languages x 2^15."""
+    """Log probabilities of hashed trigrams, a row per language; bounded by languages x 2^15. ``level`` and ``spread`` are
+    mean and deviation of a trigram's log probability in the language's own labelled text, each judged by the others."""
     languages: tuple[str, ...]
     log_p: np.ndarray
+    level: np.ndarray
+    spread: np.ndarray
 
 
 def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = 20_000,
@@ -75,7 +82,12 @@ def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang",
     for r in counted.collect():
         counts[languages.index(r["lang"]), r["gram"]] = r["n"]
     smooth = counts + 1.0
-    return TextModel(languages, np.log(smooth / smooth.sum(axis=1, keepdims=True)))
+    total = smooth.sum(axis=1, keepdims=True)
+    others = np.log(np.maximum(counts, 1.0) / total)  # add-one smoothing without the trigram itself
+    weight = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
+    level = (weight * others).sum(axis=1)
+    spread = np.sqrt((weight * (others - level[:, None]) ** 2).sum(axis=1))
+    return TextModel(languages, np.log(smooth / total), level, spread)
 
 
 def text_likelihoods(df: DataFrame, text: str, model: TextModel, carry: list[str]) -> DataFrame:
@@ -129,19 +141,21 @@ def _smoothed(sums: Column, parent: Column, strength: float, without: Column | N
 
 def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, domain: Column, suffix: Column,
              carry: list[str], strength: float = 5.0, trust: float = 2.0) -> DataFrame:
-    """The carried columns with ``lang``, ``confidence``, ``declared``, ``text_lang`` and ``grams``, one row per row.
+    """The carried columns with ``lang``, ``confidence``, ``declared``, ``text_lang``, ``grams`` and ``fits``, one row per row.
 
     Evidence, multiplied as in naive Bayes: the trigram likelihood of the text; P(declared language | language) and
     P(address suffix | language), counted over all rows by their text posteriors; and the host's prior, smoothed towards
     its domain's, that towards the whole collection's, and without the row's own part. A declaration starts with
     ``trust`` rows in favour of what it says. Null evidence (no declaration, no host, no suffix) has no say. A row without
     a single letter trigram is ``und`` with confidence 0, whatever else speaks for a language; so are null and empty
-    texts. Ties go to the language that comes first by name. Repeated rows are rows; an empty table gives an empty result.
+    texts. ``fits`` says whether the text is as likely as the labelled text of some language, which the posterior among
+    the labelled languages cannot tell. Ties go to the language that comes first by name. Repeated rows are rows; an empty table gives an empty result.
     """
     names, n = list(model.languages), len(model.languages)
     if not n:
         return df.select(*carry, F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("confidence"),
-                         F.lower(declared).alias("declared"), F.lit(UNKNOWN).alias("text_lang"), F.lit(0).cast("long").alias("grams"))
+                         F.lower(declared).alias("declared"), F.lit(UNKNOWN).alias("text_lang"), F.lit(0).cast("long").alias("grams"),
+                         F.lit(False).alias("fits"))
     known = F.array(*[F.lit(x) for x in names])
     said = F.lower(F.substring_index(F.trim(declared), "-", 1))
     rows = df.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], text.alias("text"),
@@ -181,13 +195,18 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ho
                                            _plus(F.coalesce("log_said", zero), F.coalesce("log_suffix", zero))))
              .withColumn("post", softmax(F.col("log_post"))))
     seen = F.col("grams") > 0
+    floors = [level + NOISE_SHARE * min(NOISE - level, 0.0) for level in map(float, model.level)]
+    fits = F.lit(False)
+    for i, (floor, spread) in enumerate(zip(floors, map(float, model.spread))):
+        fits = fits | (F.element_at("loglik", i + 1) / TEXT_POWER
+                       >= floor * F.col("grams") - STANDARD_ERRORS * spread * F.sqrt("grams"))
 
     def best(p: Column) -> Column:
         return F.when(seen, F.element_at(known, F.array_position(p, F.array_max(p)).cast("int"))).otherwise(UNKNOWN)
 
     return fused.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], best(F.col("post")).alias("lang"),
                         F.when(seen, F.array_max("post")).otherwise(0.0).alias("confidence"), "declared",
-                        best(F.col("share")).alias("text_lang"), "grams")
+                        best(F.col("share")).alias("text_lang"), "grams", (seen & fits).alias("fits"))
 
 
 def visible_text(html: Column) -> Column:
@@ -203,16 +222,18 @@ def identify_pages(pages: DataFrame, model: TextModel, page_id: str = "page_id",
     said = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z]+(?:-[A-Za-z0-9]+)*)""", 1)
     blank = lambda c: F.when(c != "", c)
     return identify(pages, model, visible_text(F.col(html)), blank(said), blank(host), blank(F.substring_index(host, ".", -2)),
-                    blank(F.substring_index(host, ".", -1)), [page_id])
+                    blank(F.substring_index(host, ".", -1)), [page_id]).drop("fits")
 
 
 def keep_known(docs: DataFrame, model: TextModel, text: str = "text", lang: str = "lang", source: str = "source",
                least: float = 0.5) -> DataFrame:
     """The documents whose language is told with confidence ``least`` or more; the label stands for the declaration and
-    the source for the host. Rejected are texts without letters and those between languages. Columns stay."""
+    the source for the host. Rejected are texts without letters, those between languages, and those that fit no
+    labelled language: other languages, noise, encoded data, patchworks of many languages. A label that the text
+    contradicts is no reason to reject. Columns stay."""
     key = free_name(docs, "__row")
     keyed = docs.withColumn(key, row_key(docs, docs.columns))
     none = F.lit(None).cast("string")
     verdict = identify(keyed, model, F.col(text), F.col(lang), F.col(source), F.col(source), none, [key])
-    rejected = durable(verdict.where((F.col("lang") == UNKNOWN) | (F.col("confidence") < least)).select(key).distinct())
+    rejected = durable(verdict.where((F.col("lang") == UNKNOWN) | ~F.col("fits") | (F.col("confidence") < least)).select(key).distinct())
     return keyed.join(small_side(rejected), key, "left_anti").drop(key)

@@ -262,6 +262,23 @@ def test_language_rejects_only_what_has_no_language(spark, sf):
     assert language.keep_known(docs.limit(0), model).count() == 0
 
 
+def test_language_rejects_foreign_texts_and_noise(spark, sf):
+    rng = random.Random(6)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    odd = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心" * 2,
+        *[" ".join("".join(rng.choices(letters, k=rng.randrange(2, 10))) for _ in range(40)) for _ in range(20)],
+        *["".join(rng.choices(letters + letters.upper() + "0123456789+/", k=200)) for _ in range(20)]]
+    planted = spark.createDataFrame([(-1 - i, t, ("en", "es", None)[i % 3], "src0", len(t)) for i, t in enumerate(odd)], DOCS)
+    clean = docs.where("text rlike '[A-Za-z]'")
+    kept = language.keep_known(clean.unionByName(planted), language.fit_text_model(docs))
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert not [i for i in ids if i < 0] and len(ids) == clean.count()
+
+
 # 7 shards
 
 def shards_hold(got, n, shards, share):
