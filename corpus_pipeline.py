@@ -36,8 +36,10 @@ def in_target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot."""
-    return kdtree.kd_shards(docs, queries.document_coordinates(), queries.document_size(), queries.SHARDS)
+    """All documents with their place in the mix, their shard and slot. ``mix_rank`` is the row number in the mix's files:
+    documents below any rank have the target weights until a source runs out, and each shard's slots follow it."""
+    return kdtree.kd_shards(mixing.ranked_as_stored(docs), queries.document_coordinates(), queries.document_size(),
+                            queries.SHARDS, order="mix_rank")
 
 
 STAGES = [

@@ -32,18 +32,20 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def with_running(df: DataFrame, group: str, ties: list[Column], weight: Column, index: str, before: str,
-                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                 rows_per_bucket: int = ROWS_PER_BUCKET, rank: Column | None = None) -> DataFrame:
     """Number the rows of each group from 0 without gaps and add the weight of the rows before each, also for a group
     that holds most of the rows: rows go to hash buckets of about ``rows_per_bucket`` rows, a small table carries the
     totals from bucket to bucket, and only one bucket of one group is sorted in a task.
 
-    The order inside a group is by the hash of ``ties`` and then ``ties``; equal rows are interchangeable.
+    The order inside a group is by the hash of ``ties`` and then ``ties``, or by ``rank`` where that is given: whole
+    numbers from 0 without gaps over the whole frame. Equal rows are interchangeable.
     """
     w, bucket = free_name(df, "__w"), free_name(df, "__bucket")
     rows = df.select(F.count(F.lit(1)).alias("n")).head()["n"]
     buckets = max(1, math.ceil(rows / rows_per_bucket))
-    spread = F.xxhash64(*ties)
-    keyed = df.withColumn(w, weight.cast("long")).withColumn(bucket, F.pmod(spread, F.lit(buckets)).cast("int"))
+    spread = F.xxhash64(*ties) if rank is None else rank
+    dealt = F.pmod(spread, F.lit(buckets)) if rank is None else F.floor(spread / F.lit(rows_per_bucket))
+    keyed = df.withColumn(w, weight.cast("long")).withColumn(bucket, dealt.cast("int"))
     totals = keyed.groupBy(group, bucket).agg(F.count(F.lit(1)).alias("__n"), F.sum(w).alias("__sum"))
     earlier = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

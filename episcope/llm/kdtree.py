@@ -100,9 +100,9 @@ def _medians(points: DataFrame, nodes: dict[int, int], dims: int, leaves: int, l
 
 
 def kd_shards(df: DataFrame, coordinates: list[Column], size: Column, shards: int | None = None,
-              target_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+              target_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
     """All rows with ``size``, ``text_crc32``, ``shard`` (leaves from left to right) and ``slot`` (gapless from 0 within
-    the shard, in hash order). Give the number of shards, or the bytes a leaf should reach.
+    the shard, in hash order or in that of the column ``order``, which numbers all rows from 0). Give the number of shards, or the bytes a leaf should reach.
 
     Nodes split along the dimension with the widest span, at the weighted median (or at the share of leaves that the left
     side takes), until each leaf has its bytes. Points are groups of equal texts, which stay together under the metadata
@@ -148,5 +148,6 @@ def kd_shards(df: DataFrame, coordinates: list[Column], size: Column, shards: in
     for cuts in levels:
         found = _descend(found, cuts, leaves)
     numbered = with_running(found.select("row", "weight", "crc", F.col("node").alias("shard"), "id"), "shard",
-                            [F.col("id"), F.col("crc"), F.col("weight")], F.col("weight"), "slot", "bytes_before")
+                            [F.col("id"), F.col("crc"), F.col("weight")], F.col("weight"), "slot", "bytes_before",
+                            rank=F.col(f"row.`{order}`") if order else None)
     return numbered.select("row.*", F.col("weight").alias("size"), F.col("crc").alias("text_crc32"), "shard", "slot")

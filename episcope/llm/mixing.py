@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episcope.llm.common import free_name, with_running
+from episcope.session import durable
 
 OTHER = "*"
 MAX_PERIOD = 100_000
@@ -109,3 +111,28 @@ def mixed(df: DataFrame, weights: dict[str, int], block_bytes: int, source: str
     placed = mix(df, weights, block_bytes, source, doc_id, text)
     return (placed.repartitionByRange("position", "start").sortWithinPartitions("position", "start")
             .select(*[F.col(f"`{c}`") for c in df.columns]))
+
+
+def ranked_as_stored(df: DataFrame, name: str = "mix_rank") -> DataFrame:
+    """The rows with their number from 0 in the order in which ``mixed`` wrote them: by file and place in the file. A
+    frame that is not read straight from Parquet files is numbered in its own order. A row per file reaches the driver."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias", "CollectMetrics"):
+        plan = plan.children().apply(0)
+    part, at = free_name(df, "__part"), free_name(df, "__at")
+    if plan.children().isEmpty() and "parquet" in plan.toString().lower():
+        rows = df.select("*", F.col("_metadata.file_name").alias(part), F.col("_metadata.row_index").alias(at))
+    else:
+        i = F.monotonically_increasing_id()
+        rows = durable(df.select("*", i.alias(at)).select("*", F.shiftright(at, 33).cast("string").alias(part))
+                       .withColumn(at, F.col(at).bitwiseAND((1 << 33) - 1)))
+    counted = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()
+    # Names start with the number of the writing task; a task's later files have later names.
+    number = lambda r: (int(m[1]) if (m := re.match(r"(?:part-)?(\d+)", r[part])) else 0, r[part])
+    before, total = [], 0
+    for r in sorted(counted, key=number):
+        before.append((r[part], total))
+        total += r["n"]
+    starts = df.sparkSession.createDataFrame(before, f"`{part}` string, `{name}` long")
+    return (rows.join(F.broadcast(starts), part).withColumn(name, F.col(name) + F.col(at))
+            .select(*[F.col(f"`{c}`") for c in df.columns], name))
