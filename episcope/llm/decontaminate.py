@@ -58,29 +58,34 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def item_sketches(items: DataFrame, item_id: str, text: str, threshold: float) -> DataFrame:
-    """``(item_id, copies, length, shingles, sketch, text)`` for items with words; items with equal words are one row
-    under the smallest id.
+    """``(key, item_id, copies, length, shingles, sketch, text)`` for items with words; items with equal words are one row
+    under the smallest id, null if none has one. ``key`` names the words.
 
     The sketch holds the ``shingles - needed + 1`` smallest shingle hashes. A document that has the needed share of the
     item's shingles has at least one of any so many of them, so a search by these minima misses nothing. An item of
     fewer than five words is one shingle as long as itself.
     """
-    def run(frames):
-        for frame in frames:
-            out = []
-            for i, t in zip(frame["item_id"], frame["text"]):
-                tokens = words(t)
+    def run(batches):
+        for batch in batches:
+            rows, out = [], []
+            for row, t in enumerate(batch.column(1)):
+                tokens = words(t.as_py())
                 if tokens:
                     length = min(SHINGLE, len(tokens))
                     hashes = _signed(shingle_hashes(tokens, [length]))
                     sketch = hashes[:len(hashes) - needed(len(hashes), threshold) + 1]
-                    out.append((i, length, len(hashes), sketch, " ".join(tokens)))
-            yield pd.DataFrame(out, columns=["item_id", "length", "shingles", "sketch", "text"])
-
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).mapInPandas(
+                    rows.append(row)
+                    out.append((length, len(hashes), sketch, " ".join(tokens)))
+            kinds = {"length": pa.int32(), "shingles": pa.int32(), "sketch": pa.list_(pa.int64()), "text": pa.string()}
+            # Ids stay in Arrow: in pandas a null would turn them into doubles.
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds.values())]],
+                names=["item_id", *kinds])
+
+    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(
         run, "item_id long, length int, shingles int, sketch array<long>, text string")
     return rows.groupBy("text", "length", "shingles", "sketch").agg(
-        F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("copies"))
+        F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("copies")).withColumn("key", F.md5("text"))
 
 
 def _size_class(size: int) -> int:
@@ -105,7 +110,7 @@ def _bounds(sketches: DataFrame, threshold: float) -> tuple[list[int], dict[int,
 
 
 def candidates(docs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """``(doc_id, item_id)``: documents that hold at least one shingle of an item's sketch and enough shingles to contain
+    """``(doc_id, key)``: documents that hold at least one shingle of an item's sketch and enough shingles to contain
     it. A document passes on only its hashes up to the bound of its size class."""
     lengths, bounds = _bounds(sketches, threshold)
 
@@ -124,10 +129,10 @@ def candidates(docs: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
                                              names=["doc_id", "size", "hashes"])
 
     hashed = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size int, hashes array<long>")
-    probes = sketches.select("item_id", "shingles", F.explode("sketch").alias("hash"))
+    probes = sketches.select("key", "shingles", F.explode("sketch").alias("hash"))
     return (hashed.select("doc_id", "size", F.explode("hashes").alias("hash")).join(probes, "hash")
             .where(F.col("size") >= F.ceil(F.col("shingles") * F.lit(threshold) - 1e-9))
-            .select("doc_id", "item_id").distinct())
+            .select("doc_id", "key").distinct())
 
 
 def _verify(threshold: float):
@@ -156,7 +161,7 @@ def _marked(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id:
     """The documents with an array of the items they contain; ``how="inner"`` keeps to those with candidates."""
     sketches = durable(item_sketches(items, item_id, item_text, threshold))
     found = candidates(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), sketches, threshold)
-    asked = durable(found.join(sketches.select("item_id", "copies", "text"), "item_id")
+    asked = durable(found.join(sketches.select("key", "item_id", "copies", "text"), "key")
                     .groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "copies", "text")).alias("items")))
     key, wanted, hits = (free_name(docs, n) for n in ("__doc", "__items", "__hits"))
     asked = asked.select(F.col("doc_id").alias(key), F.col("items").alias(wanted))
@@ -170,7 +175,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     """``(doc_id, item_id, copies, shared, shingles, containment)``: every document and every benchmark item of whose
     distinct word shingles (five words, or the whole item if shorter) the document has at least ``threshold``.
 
-    Items with equal words are one item under their smallest id, ``copies`` says how many. Null and wordless texts
+    Items with equal words are one item under their smallest id, ``copies`` says how many; an item without any id is
+    searched like others and reported with a null item_id. Null and wordless texts
     contain nothing and are contained in nothing; rows with a null doc_id are searched too; documents with a repeated id
     are judged row by row; an empty table on either side gives an empty result. Extra columns are ignored.
     """

@@ -185,6 +185,20 @@ def test_containment_against_brute_force(spark):
     assert decontaminate.remove_contaminated(left, right.limit(0)).count() == left.count()
 
 
+def test_items_without_an_id(spark):
+    rng = random.Random(41)
+    texts = [prose(rng, 20, 300) for _ in range(5)]
+    big = (1 << 53) + 1
+    ids = [None, None, big, None, 7]
+    items = spark.createDataFrame([*zip(ids, texts), (9, texts[3]), (None, None), (None, "a")], "item_id long, text string").coalesce(1)
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(texts)] + [(5, "clean words only"), (6, texts[0] + " " + texts[1])],
+                                 "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["copies"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(0, None, 1), (1, None, 1), (2, big, 1), (3, 9, 2), (4, 7, 1), (6, None, 1)}
+    assert decontaminate.contaminated(docs, items).where("doc_id = 6").count() == 2
+    assert [r["doc_id"] for r in decontaminate.remove_contaminated(docs, items).collect()] == [5]
+
+
 # 5 neighbours
 
 def brute_nearest(vectors, k=5, every=50):
