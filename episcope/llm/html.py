@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,8 +28,6 @@ IMPLIED = {
 }
 SCOPE = {"table", "td", "th", "caption", "button", "template"}
 IN_HEAD = {"base", "link", "meta", "title", "style", "script", "template", "noscript", "head", "html"}
-#: Deeper nesting is flattened, as browsers do.
-DEPTH = 200
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
                  r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?""", re.S)
@@ -48,17 +47,21 @@ def parse(source: str) -> Node:
     """The tree of a document, however broken: unclosed tags end where HTML implies it, stray end tags are ignored."""
     root = Node("html", {})
     open_ = [root]
+    places: dict[str, list[int]] = {}  # where in ``open_`` each tag stands, so no search walks a deep stack
+
+    def cut(at: int) -> None:
+        while len(open_) > at:
+            places[open_.pop().tag].pop()
+
+    def nearest(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(tags: set[str], until: set[str]) -> None:
         """End the outermost open element of the given tags inside the nearest container."""
-        found = None
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in until:
-                break
-            if open_[i].tag in tags:
-                found = i
-        if found is not None:
-            del open_[found:]
+        limit = nearest(until)
+        inside = [own[i] for t in tags if (own := places.get(t)) and (i := bisect_right(own, limit)) < len(own)]
+        if inside:
+            cut(min(inside))
 
     at, end = 0, len(source)
     while at < end:
@@ -66,7 +69,7 @@ def parse(source: str) -> Node:
         text = source[at:m.start() if m else end]
         if text:
             if open_[-1].tag == "head" and text.strip():
-                open_.pop()
+                cut(len(open_) - 1)
             open_[-1].children.append(html.unescape(text))
         if not m:
             break
@@ -77,21 +80,17 @@ def parse(source: str) -> Node:
         name = name.lower()
         if closing:
             stop = {"table"} if name in IMPLIED else SCOPE - {name}
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == name:
-                    del open_[i:]
-                    break
-                if open_[i].tag in stop and name != "table":
-                    break
+            if places.get(name) and (name == "table" or nearest(stop) < places[name][-1]):
+                cut(places[name][-1])
             continue
         if open_[-1].tag == "head" and name not in IN_HEAD:
-            open_.pop()
+            cut(len(open_) - 1)
         if name in IMPLIED:
             close(*IMPLIED[name])
         elif name in BLOCK:
             close({"p"}, SCOPE | {"li", "dd", "dt"})
         attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(rest)} if rest.strip(" /") else {}
-        if name in ("html", "body") and (name == "html" or any(n.tag == "body" for n in open_)):
+        if name in ("html", "body") and (name == "html" or places.get("body")):
             continue
         node = Node(name, attrs)
         open_[-1].children.append(node)
@@ -102,7 +101,8 @@ def parse(source: str) -> Node:
             body = source[at:stop.start() if stop else end]
             node.children.append(html.unescape(body) if name in ("title", "textarea") else body)
             at = stop.end() if stop else end
-        elif len(open_) < DEPTH:
+        else:
+            places.setdefault(name, []).append(len(open_))
             open_.append(node)
     return root
 
@@ -165,11 +165,26 @@ def _number(value: str | None, least: int, most: int, otherwise: int) -> int:
     return min(max(int(m[1]), least), most) if m else otherwise
 
 
-def table_lines(table: Node) -> list[str]:
+def _run(call):
+    """The result of a generator that yields the calls it needs answered, on a stack of our own: any depth will do."""
+    stack, value = [call], None
+    while stack:
+        try:
+            inner = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+        else:
+            stack.append(inner)
+            value = None
+    return value
+
+
+def _table_lines(table: Node):
     """Cells padded to their column's width, two blanks between columns; a row is as high as its highest cell."""
     captions, rows = [], []
 
-    def walk(node: Node) -> None:
+    def walk(node: Node):
         for c in node.children:
             if isinstance(c, str):
                 if c.strip():
@@ -180,15 +195,15 @@ def table_lines(table: Node) -> list[str]:
                 rows.append([x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th") and not unseen(x)])
                 loose = Node("div", {})
                 loose.children = [x for x in c.children if not (isinstance(x, Node) and x.tag in ("td", "th"))]
-                captions.extend(x for x in rendered(loose) if x)
+                captions.extend(x for x in (yield _rendered(loose)) if x)
             elif c.tag in ("thead", "tbody", "tfoot"):
-                walk(c)
+                yield walk(c)
             elif c.tag in ("td", "th"):
                 rows.append([c])
             else:
-                captions.extend(rendered(c))
+                captions.extend((yield _rendered(c)))
 
-    walk(table)
+    yield walk(table)
     grid: list[dict[int, tuple[list[str], int]]] = []
     held: dict[int, int] = {}
     for cells in rows:
@@ -197,7 +212,7 @@ def table_lines(table: Node) -> list[str]:
             while held.get(col, 0) > 0:
                 col += 1
             wide, high = _number(cell.attrs.get("colspan"), 1, 1000, 1), _number(cell.attrs.get("rowspan"), 1, 65534, 1)
-            place[col] = (rendered(cell) or [""], wide)
+            place[col] = ((yield _rendered(cell)) or [""], wide)
             for i in range(col, col + wide):
                 held[i] = high
             col += wide
@@ -224,7 +239,7 @@ def table_lines(table: Node) -> list[str]:
     return out
 
 
-def _render(node: Node, flow: Flow, keep: bool) -> None:
+def _render(node: Node, flow: Flow, keep: bool):
     number = _number(node.attrs.get("start"), -10**9, 10**9, 1)
     for c in node.children:
         if isinstance(c, str):
@@ -235,36 +250,36 @@ def _render(node: Node, flow: Flow, keep: bool) -> None:
             flow.cut()
         elif c.tag == "table":
             flow.space(2)
-            flow.put(table_lines(c))
+            flow.put((yield _table_lines(c)))
             flow.space(2)
         elif c.tag == "li":
             flow.space(1)
             number = _number(c.attrs.get("value"), -10**9, 10**9, number)
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            lines = rendered(c) or [""]
+            lines = (yield _rendered(c)) or [""]
             flow.put([mark + lines[0], *[" " * len(mark) + x for x in lines[1:]]])
             flow.space(1)
         elif c.tag in ("blockquote", "dd") or (c.tag in ("ul", "ol", "menu") and node.tag in ("ul", "ol", "menu")):
             flow.space(2 if c.tag in SPACED and node.tag != "li" else 1)
-            flow.put(["  " + x for x in rendered(c)])
+            flow.put(["  " + x for x in (yield _rendered(c))])
             flow.space(2 if c.tag in SPACED and node.tag != "li" else 1)
         elif c.tag in BLOCK:
             # A list inside a list item follows it without a blank line.
             gap = 2 if c.tag in SPACED and not (node.tag == "li" and c.tag in ("ul", "ol", "menu")) else 1
             flow.space(gap)
-            _render(c, flow, keep or c.tag == "pre")
+            yield _render(c, flow, keep or c.tag == "pre")
             flow.space(gap)
         elif c.tag == "input":
             if c.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text") and c.attrs.get("value"):
                 flow.text(" " + c.attrs["value"] + " ", keep)
         else:
-            _render(c, flow, keep or c.tag == "textarea")
+            yield _render(c, flow, keep or c.tag == "textarea")
 
 
-def rendered(node: Node) -> list[str]:
+def _rendered(node: Node):
     flow = Flow()
-    _render(node, flow, node.tag == "pre")
+    yield _render(node, flow, node.tag == "pre")
     lines = flow.done()
     while lines and not lines[-1]:
         lines.pop()
@@ -275,8 +290,8 @@ def rendered(node: Node) -> list[str]:
 
 def extract(source: str | None) -> str:
     """Visible text of an HTML document. Null and empty documents give an empty text; plain text comes back with its
-    blanks collapsed; broken markup is read as far as it goes, never refused."""
-    return "\n".join(rendered(parse(source.replace("\0", "")))) if source else ""
+    blanks collapsed; broken markup is read as far as it goes, never refused, at any depth."""
+    return "\n".join(_run(_rendered(parse(source.replace("\0", ""))))) if source else ""
 
 
 def visible_text(source: Column) -> Column:

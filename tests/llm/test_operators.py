@@ -44,6 +44,20 @@ def test_html_long_and_deep(spark):
     assert got[1] == "x" and got[2].count("y") == 300_000 and got[3] == ""
 
 
+@pytest.mark.parametrize("before, after", [("<div>" * 300, "</div>" * 300), ("<font><b><span>" * 100, ""), ("<div>" * 20_000, "")])
+@pytest.mark.parametrize("source, text", [
+    ("x<div hidden>no<i>no</i></div><p style='display:none'>no</p><noscript>no</noscript><template>no</template><b hidden>no</b> y", "x y"),
+    ("<table><tr><th>name<th>n<tr><td>a<td>10<tr><td>longer<td>2</table>", "name    n\na       10\nlonger  2"),
+    ("<ul><li>a<li>b</ul><ol start=3><li>c<li>d</ol>", "- a\n- b\n\n3. c\n4. d"),
+])
+def test_html_below_any_depth(before, after, source, text):
+    assert html.extract(before + source + after).strip("\n") == text
+
+
+def test_html_hidden_ancestor_of_deep_elements():
+    assert html.extract("<div hidden>" + "<div>" * 400 + "no" + "</div>" * 400 + "no</div>yes") == "yes"
+
+
 # 2 mixing
 
 def test_mix_stays_within_a_block(spark):
