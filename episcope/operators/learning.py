@@ -117,19 +117,18 @@ def feature_names(df: DataFrame, col: str = "features") -> list[str]:
 
 # --- models -----------------------------------------------------------------------------------------------------
 
-def tree_models(label: str, seed: int = 42, weight: str | None = None, size: float = 1.0) -> dict[str, Estimator]:
-    """The four tree models with their published sizes; ``size`` scales the number of trees. The last one is the
-    boosted model with more, slower and narrower trees and class weighting."""
+def tree_models(label: str, seed: int = 42, weight: str | None = None) -> dict[str, Estimator]:
+    """The four tree models with their published sizes. The last one is the boosted model with more, slower and narrower
+    trees and class weighting."""
     # The published model sizes.
-    n = lambda trees: max(2, int(trees * size))
     w = {"weightCol": weight} if weight else {}
     return {
         "DecisionTree": DecisionTreeClassifier(labelCol=label, maxDepth=6, minInstancesPerNode=50, seed=seed, **w),
-        "RandomForest": RandomForestClassifier(labelCol=label, numTrees=n(300), maxDepth=10, minInstancesPerNode=20,
+        "RandomForest": RandomForestClassifier(labelCol=label, numTrees=300, maxDepth=10, minInstancesPerNode=20,
                                                seed=seed, **w),
-        "GradientBoosting": GBTClassifier(labelCol=label, maxIter=n(200), stepSize=0.05, maxDepth=5,
+        "GradientBoosting": GBTClassifier(labelCol=label, maxIter=200, stepSize=0.05, maxDepth=5,
                                           minInstancesPerNode=20, subsamplingRate=0.8, seed=seed),
-        "BoostedWeighted": GBTClassifier(labelCol=label, maxIter=n(500), stepSize=0.03, maxDepth=4,
+        "BoostedWeighted": GBTClassifier(labelCol=label, maxIter=500, stepSize=0.03, maxDepth=4,
                                          minInstancesPerNode=3, subsamplingRate=0.8, featureSubsetStrategy="0.7",
                                          seed=seed, **w),
     }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episcope.functions.expr import days_since, flag
@@ -123,27 +126,33 @@ def fit_and_eval(spark, sf):
     split = learning.stratified_split(_debt_vectors(spark, sf), "c_custkey", "debt",
                                       {"train": 0.7, "valid": 0.15, "test": 0.15})
     weighted = learning.with_class_weights(split, "debt")
-    return learning.fit_and_eval(weighted, "split", "debt", learning.tree_models("debt", weight="weight", size=0.02))
+    return learning.fit_and_eval(weighted, "split", "debt", learning.tree_models("debt", weight="weight"))
 
 
 @query("cross_validate")
 def cross_validate(spark, sf):
-    models = {"DecisionTree": learning.tree_models("debt")["DecisionTree"]}
-    folds = learning.cross_validate(_debt_vectors(spark, sf), "c_custkey", "debt", models, resampling="oversample")
+    folds = learning.cross_validate(_debt_vectors(spark, sf), "c_custkey", "debt", learning.tree_models("debt"),
+                                    resampling="oversample")
     return metrics.cv_summary(folds, ["accuracy", "precision", "recall", "f1_score", "roc_auc", "pr_auc"], ["model"])
 
 
+def _by_model(table_of):
+    """The tables of all tree models under each other, with the model's name."""
+    parts = [table_of(estimator).withColumn("model", F.lit(name)) for name, estimator in learning.tree_models("debt").items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("imbalance_table")
 def imbalance_table(spark, sf):
     split = durable(learning.stratified_split(_debt_vectors(spark, sf), "c_custkey", "debt", {"train": 0.7, "test": 0.3}))
-    return learning.imbalance_table(split.where("split = 'train'").drop("split"), split.where("split = 'test'"),
-                                    "c_custkey", "debt", learning.tree_models("debt")["DecisionTree"])
+    train, test = split.where("split = 'train'").drop("split"), split.where("split = 'test'")
+    return _by_model(lambda estimator: learning.imbalance_table(train, test, "c_custkey", "debt", estimator))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
     rows = _debt_vectors(spark, sf)
-    model = learning.tree_models("debt", size=0.05)["RandomForest"].fit(rows)
+    model = learning.tree_models("debt")["RandomForest"].fit(rows)
     return learning.importances(model, learning.feature_names(rows))
 
 
@@ -152,8 +161,12 @@ def permutation_importance(spark, sf):
     rows = _debt(spark, sf)
     pre = learning.preprocessor(categorical=["c_mktsegment"], passthrough=["far"], scaled=["nation", "slot"])
     from pyspark.ml import Pipeline
-    model = Pipeline(stages=[*pre.getStages(), learning.tree_models("debt")["DecisionTree"]]).fit(rows)
-    return learning.permutation_importance(model, rows, "c_custkey", "debt", ["c_mktsegment", "far", "nation", "slot"])
+
+    def one(estimator):
+        model = Pipeline(stages=[*pre.getStages(), estimator]).fit(rows)
+        return learning.permutation_importance(model, rows, "c_custkey", "debt", ["c_mktsegment", "far", "nation", "slot"])
+
+    return _by_model(one)
 
 
 @query("triage_forest")
@@ -161,7 +174,7 @@ def triage_forest(spark, sf):
     df = rules.triage_label(registry(spark, sf), AS_OF).where("triage_reason <> 'None'").select(
         "l_orderkey", "l_linenumber", "triage_reason", "symptoms", "temp",
         days_since("arrival_date", AS_OF).alias("days_since_arrival"))
-    model = learning.text_forest(df, "triage_reason", "symptoms", ["temp", "days_since_arrival"], trees=10)
+    model = learning.text_forest(df, "triage_reason", "symptoms", ["temp", "days_since_arrival"])
     return metrics.class_report(model.transform(df), "triage_reason", "predicted")
 
 
@@ -177,20 +190,20 @@ def _seasons(spark, sf):
 @query("season_anomalies")
 def season_anomalies(spark, sf):
     rows = _seasons(spark, sf)
-    return anomaly.isolation_forest(rows.where("phase = 'pre_pandemic'"), rows, "id", SEASON_FEATURES, n_trees=200)
+    return anomaly.isolation_forest(rows.where("phase = 'pre_pandemic'"), rows, "id", SEASON_FEATURES)
 
 
 @query("contamination_sweep")
 def contamination_sweep(spark, sf):
     rows = _seasons(spark, sf)
-    return anomaly.contamination_sweep(rows.where("phase = 'pre_pandemic'"), rows, "id", SEASON_FEATURES, n_trees=200,
+    return anomaly.contamination_sweep(rows.where("phase = 'pre_pandemic'"), rows, "id", SEASON_FEATURES,
                                        excluded=["1998-99"])
 
 
 @query("customer_anomalies")
 def customer_anomalies(spark, sf):
     rows = table(spark, sf, "customer")
-    scores = anomaly.isolation_forest(rows, rows, "c_custkey", ["c_acctbal", "c_nationkey"], n_trees=100)
+    scores = anomaly.isolation_forest(rows, rows, "c_custkey", ["c_acctbal", "c_nationkey"])
     return scores.select("c_custkey", "anomaly_score", "anomaly")
 
 

@@ -220,7 +220,7 @@ def rate_ratio_table(spark, sf):
 def bootstrap_median_diff(spark, sf):
     metric = table(spark, sf, "events").where(F.col("event_type").isin("view", "purchase")).groupBy(
         "event_type", "user_id").agg(F.avg("value").alias("m"))
-    return resample.bootstrap_median_diff(metric, "event_type", "view", "purchase", "m", replicates=400)
+    return resample.bootstrap_median_diff(metric, "event_type", "view", "purchase", "m")
 
 
 def _series(spark, sf):
