@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episcope.llm import decontaminate, html, kdtree, language, mixing, neighbours, secrets, simhash, urllists, warc
+from episcope.llm import bpe, codes, decontaminate, fim, html, kdtree, language, mixing, neighbours, secrets, simhash, urllists, warc
 from episcope.llm.registry import query, table
 
 #: Target shares of the sources, in hundredths of bytes; every other source is in ``*``.
@@ -141,3 +141,91 @@ FROM (SELECT *, max(page_id) OVER (PARTITION BY body) AS own
       FROM (SELECT page_id, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS bytes FROM pages))""")
 def warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(table(spark, sf, "pages"))
+
+
+def _round_sql(i: int) -> str:
+    """The codebooks of a round (those of round 0 are the first vectors' parts) and the nearest entry of each part."""
+    book = "book0 AS (SELECT p, row - 1 AS e, x AS b FROM parts WHERE row <= 64)" if i == 0 else f"""
+sums{i} AS (
+  SELECT p, e, i, sum(CAST(x[i] AS HUGEINT)) AS s, count(*) AS n
+  FROM near{i - 1}, (SELECT unnest(range(1, (SELECT len(x) FROM parts LIMIT 1) + 1)) AS i) GROUP BY p, e, i),
+book{i} AS (
+  SELECT p, e, coalesce(m, b) AS b
+  FROM book{i - 1} LEFT JOIN (
+    SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM sums{i} GROUP BY p, e) USING (p, e))"""
+    return book + f""",
+near{i} AS (
+  SELECT row, p, any_value(x) AS x, min({{'d': d, 'e': e}}).e AS e, min({{'d': d, 'e': e}}).d AS d
+  FROM (SELECT row, p, e, x, list_sum([(x[i] - b[i]) * (x[i] - b[i]) FOR i IN range(1, len(x) + 1)]) AS d
+        FROM parts JOIN book{i} USING (p))
+  GROUP BY row, p)"""
+
+
+CODES_SQL = f"""
+WITH whole AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (
+  SELECT row, p, list_slice(v, p * (len(v) // 16) + 1, (p + 1) * (len(v) // 16)) AS x
+  FROM whole, (SELECT unnest(range(16)) AS p)),
+{_round_sql(0)},
+{_round_sql(1)},
+{_round_sql(2)},
+coded AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY row),
+book AS (SELECT sha256(coalesce(string_agg(array_to_string(b, ','), ',' ORDER BY p, e), '')) AS h FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM whole JOIN coded USING (row), book
+"""
+
+
+@query("op11_active_lloyd_codes", CODES_SQL)
+def active_lloyd_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every usable vector's code and its error after two rounds; codes as hexadecimal digits."""
+    coded, books = codes.compress(table(spark, sf, "embeddings"), ["vec_id", "label"])
+    return codes.label_errors(coded, "label").select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+@query("op12_boundary_set_fim", r"""
+WITH cut AS (
+  SELECT *, h1 % (n + 1) AS a, h2 % (n + 1) AS b FROM (
+    SELECT *, len(tokens) AS n,
+           CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+           CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+    FROM (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                 regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS tokens
+          FROM documents))),
+parts AS (
+  SELECT *, array_to_string(list_slice(tokens, 1, least(a, b)), '') AS prefix,
+         array_to_string(list_slice(tokens, least(a, b) + 1, greatest(a, b)), '') AS middle,
+         array_to_string(list_slice(tokens, greatest(a, b) + 1, n), '') AS suffix,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts""")
+def boundary_set_fim(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document in its form; the outputs and the texts restored from them as digests."""
+    made = fim.fill_in_middle(table(spark, sf, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query("op13_batched_bpe")
+def batched_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's ids, and the text that they decode to, as digests."""
+    import public_tokenizers
+
+    vocabulary = bpe.share_vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    docs = table(spark, sf, "documents").select("doc_id", bpe.encode(F.col("text"), vocabulary).alias("ids"))
+    return docs.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(bpe.decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"))
