@@ -13,23 +13,29 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of more symbols than this are merged by rank buckets, whose cost follows the merges and not rounds x length.
 LONG_WORD = 512
-#: A worker remembers the ids of so many chunks of text, none longer than 64 characters, and then starts anew.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+#: A worker remembers the ids of so many words, none longer than 32 characters, and then starts anew.
+REMEMBERED, REMEMBERED_CHARS = 250_000, 32
+#: Texts are encoded in groups of about so many characters, long ones in pieces.
+GROUP_CHARS = 1 << 19
+#: Words merged in the same rounds.
+WORDS = 20_000
 NONE = np.int64(1) << 40
-_CHUNK = re.compile(r"[^ \t-\r]+")  # any part of Unicode white space will do: what is left is parted with the words
+_CHUNK, _BLANK, _FAR = re.compile(r"[^ \t-\r]+"), re.compile(r"[ \t-\r]"), re.compile("[^\0-\u02ff]")
 
 
 class Vocabulary:
-    """The tables of a BPE vocabulary: sorted pair keys with their ranks and results, symbols of characters, tokens."""
+    """The tables of a BPE vocabulary: sorted pair keys with their ranks and results, symbols of bytes, tokens; and how it
+    parts a text into words, as its own normalizer and splitter do."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
@@ -40,17 +46,19 @@ class Vocabulary:
             raise ValueError("only plain merges are known")
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("added tokens are matched in the raw text only")
-        library = Tokenizer.from_file(path)
-        # Words as the vocabulary's own rules part them; both objects can be pickled, the merges are done here.
-        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        if [w for w, _ in self.splitter.pre_tokenize_str("a b")] != ["a", "b"]:
-            raise ValueError("white space must part words and be dropped")
+        steps = [x["type"] for x in held["normalizer"]["normalizers"]], [x["type"] for x in held["pre_tokenizer"]["pretokenizers"]]
+        split, level = held["pre_tokenizer"]["pretokenizers"]
+        if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or (
+                split["behavior"], split["invert"], level["add_prefix_space"], level["use_regex"]) != ("Removed", True, False, False):
+            raise ValueError("texts in lower case, and words found by a pattern, are needed")
+        # Both objects can be pickled; the merges are done here.
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.splitter = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self._check_near()
         ids, suffix = model["vocab"], model["end_of_word_suffix"]
-        single = {ord(t): i for t, i in ids.items() if len(t) == 1}
-        self.symbol = np.full(max(single) + 1, -1, np.int64)
-        self.last = self.symbol.copy()
-        for c, i in single.items():
-            self.symbol[c], self.last[c] = i, ids.get(chr(c) + suffix, -1)
+        letters = byte_letters()
+        self.symbol, self.last = (np.array([ids[c + end] for c in letters], np.int64) for end in ("", suffix))
         pairs = [(ids[a], ids[b], ids[a + b]) for a, b in model["merges"]]
         left, right, made = (np.array(x, np.int64) for x in zip(*pairs))
         keys = left << 32 | right
@@ -74,20 +82,45 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
+    def words(self, text: str) -> list[str]:
+        """The words of a text. White space parts them, so a text may be cut there."""
+        if not _FAR.search(text):
+            return self.pattern.findall(text.lower())
+        found = []
+        for c in _CHUNK.findall(text):
+            if _FAR.search(c):  # tables of Unicode differ between libraries, normal forms too
+                found += [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(c))]
+            else:
+                found += self.pattern.findall(c.lower())
+        return found
+
+    def _check_near(self) -> None:
+        """Below U+0300 nothing is composed, and the short way gives what the vocabulary's own rules give."""
+        for c in map(chr, range(0x300)):
+            for s in (f"a{c}b1{c}!{c}{c}", c):
+                own = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(s))]
+                if own != self.pattern.findall(s.lower()):
+                    raise ValueError(f"U+{ord(c):04X} is treated otherwise")
+
     def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' first symbols in one flat array, and the place where each word starts."""
-        flat = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        """The words' bytes as symbols in one flat array, and the place where each word starts."""
+        held = [w.encode() for w in words]
+        flat = np.frombuffer(b"".join(held), np.uint8)
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
         ends = np.cumsum(sizes)
-        if len(flat) and flat.max() >= len(self.symbol):
-            raise ValueError("the vocabulary lacks a character")
         out = self.symbol[flat]
         out[ends - 1] = self.last[flat[ends - 1]]
-        if (out < 0).any():
-            raise ValueError("the vocabulary lacks a character")
         return out, ends - sizes
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones of Latin-1 are themselves, the others
+    follow from U+0100 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+    return [others.get(b, chr(b)) for b in range(256)]
+
+
 def merge_words(v: Vocabulary, words: list[str]) -> list[np.ndarray]:
     """The ids of each (non-empty) word."""
     found: list = [None] * len(words)
@@ -95,9 +128,10 @@ def merge_words(v: Vocabulary, words: list[str]) -> list[np.ndarray]:
     for i, w in enumerate(words):
         if len(w) > LONG_WORD:
             found[i] = _merge_long(v, v.symbols([w])[0])
-    if short:
-        flat, starts = v.symbols([words[i] for i in short])
-        for i, ids in zip(short, _merge_rounds(v, flat, starts)):
+    for at in range(0, len(short), WORDS):
+        own = short[at:at + WORDS]
+        flat, starts = v.symbols([words[i] for i in own])
+        for i, ids in zip(own, _merge_rounds(v, flat, starts)):
             found[i] = ids
     return found
 
@@ -188,46 +222,57 @@ def _merge_long(v: Vocabulary, flat: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes batches of texts and remembers short chunks."""
+    """Encodes texts in groups of bounded size and remembers the ids of short words."""
 
     def __init__(self, v: Vocabulary):
         self.v, self.known = v, {}
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        parted = [self._chunks(t) for t in texts]
-        fresh = {c for own in parted for c in own if c not in self.known}
-        found = dict(zip(fresh, self._encode_chunks(list(fresh))))
-        found.update((c, self.known[c]) for own in parted for c in own if c not in fresh)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-        self.known.update((c, found[c]) for c in fresh if len(c) <= REMEMBERED_CHARS)
-        return [b"".join([found[c] for c in own]) for own in parted]
-
-    def _chunks(self, text: str | None) -> list[str]:
-        """The text cut at ASCII white space and around added tokens; these stand as they are."""
-        special = self.v.special
-        if not text:
-            return []
-        if special is None or not special.search(text):
-            return _CHUNK.findall(text)
-        out, at = [], 0
-        for m in special.finditer(text):
-            out += [*_CHUNK.findall(text, at, m.start()), m[0]]
+        out: list[list[bytes]] = []
+        waiting: list[tuple[int, str, bool]] = []
+        chars = 0
+        for row, text in enumerate(texts):
+            out.append([])
+            for piece, special in self._pieces(text or ""):
+                waiting.append((row, piece, special))
+                chars += len(piece)
+                if chars >= GROUP_CHARS:
+                    self._flush(waiting, out)
+                    waiting, chars = [], 0
+        self._flush(waiting, out)
+        return [b"".join(own) for own in out]
+
+    def _pieces(self, text: str) -> Iterator[tuple[str, bool]]:
+        """Stretches of the text between added tokens, cut at white space when long, and the added tokens."""
+        at, special = 0, self.v.special
+        for m in special.finditer(text) if special else ():
+            yield from self._cut(text, at, m.start())
+            yield m[0], True
             at = m.end()
-        return out + _CHUNK.findall(text, at)
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        v, number, words = self.v, {}, []
-        for c in chunks:
-            if c in v.added:
-                words.append(None)
-                continue
-            own = [w for w, _ in v.splitter.pre_tokenize_str(v.normalizer.normalize_str(c))]
-            words.append([number.setdefault(w, len(number)) for w in own])
-        ids = [x.astype("<u4").tobytes() for x in merge_words(v, list(number))]
-        return [np.array([v.added[c]], "<u4").tobytes() if own is None else b"".join([ids[k] for k in own])
-                for c, own in zip(chunks, words)]
+        yield from self._cut(text, at, len(text))
+
+    @staticmethod
+    def _cut(text: str, at: int, end: int) -> Iterator[tuple[str, bool]]:
+        while at < end:
+            blank = _BLANK.search(text, at + GROUP_CHARS, end) if end - at > GROUP_CHARS else None
+            to = blank.start() if blank else end
+            yield text[at:to], False
+            at = to
+
+    def _flush(self, waiting: list[tuple[int, str, bool]], out: list[list[bytes]]) -> None:
+        v, known = self.v, self.known
+        parted = [None if special else v.words(piece) for _, piece, special in waiting]
+        fresh = list({w for own in parted if own for w in own if w not in known})
+        found = {w: ids.astype("<u4").tobytes() for w, ids in zip(fresh, merge_words(v, fresh))}
+        known.update(found)
+        for (row, piece, _), own in zip(waiting, parted):
+            out[row].append(np.array([v.added[piece]], "<u4").tobytes() if own is None else b"".join([known[w] for w in own]))
+        for w in fresh:
+            if len(w) > REMEMBERED_CHARS:
+                del known[w]
+        if len(known) > REMEMBERED:
+            self.known = {}
 
 
 def decode_ids(v: Vocabulary, ids: bytes | None) -> str | None:
@@ -255,10 +300,7 @@ def encode(text: Column, vocabulary: Broadcast) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(vocabulary.value)
         for texts in batches:
-            out: list[bytes] = []
-            for at in range(0, len(texts), 512):
-                out += encoder.encode(texts.iloc[at:at + 512])
-            yield pd.Series(out, dtype=object)
+            yield pd.Series(encoder.encode(texts), dtype=object)
 
     return run(F.coalesce(text, F.lit("")))
 

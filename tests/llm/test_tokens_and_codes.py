@@ -200,6 +200,12 @@ def test_bpe_of_a_very_long_word(vocabulary, library):
     assert bpe.Encoder(vocabulary).encode([text])[0] == ids_of(library, text)
 
 
+def test_long_texts_are_cut_at_white_space_only(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 7)
+    texts = [t for t in odd_texts() if t and len(t) < 3000][:400]
+    assert bpe.Encoder(vocabulary).encode(texts) == [ids_of(library, t) for t in texts]
+
+
 def test_memory_of_words_is_bounded(vocabulary, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 10)
     encoder = bpe.Encoder(vocabulary)
