@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Words of more symbols than this are merged by rank buckets, whose cost follows the merges and not rounds x length.
 LONG_WORD = 512
 #: A worker remembers the ids of so many words, none longer than 32 characters, and then starts anew.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 32
+REMEMBERED, REMEMBERED_CHARS = 120_000, 32
 #: Texts are encoded in groups of about so many characters, long ones in pieces.
 GROUP_CHARS = 1 << 19
 #: Words merged in the same rounds.
@@ -305,6 +305,18 @@ def encode(text: Column, vocabulary: Broadcast) -> Column:
     return run(F.coalesce(text, F.lit("")))
 
 
+def encode_and_decode(text: Column, vocabulary: Broadcast) -> Column:
+    """``ids`` as ``encode`` gives them and ``decoded``, the text that they decode to, in one pass through Python."""
+    @F.pandas_udf("ids binary, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(vocabulary.value)
+        for texts in batches:
+            ids = encoder.encode(texts)
+            yield pd.DataFrame({"ids": ids, "decoded": [decode_ids(vocabulary.value, i) for i in ids]}, dtype=object)
+
+    return run(F.coalesce(text, F.lit("")))
+
+
 def decode(ids: Column, vocabulary: Broadcast) -> Column:
     """The text of ids as ``encode`` gives them; null stays null, no ids give the empty text."""
     @F.pandas_udf("string")

@@ -226,6 +226,7 @@ def batched_bpe(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bpe.share_vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
-    docs = table(spark, sf, "documents").select("doc_id", bpe.encode(F.col("text"), vocabulary).alias("ids"))
-    return docs.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                       F.sha2(bpe.decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"))
+    both = bpe.encode_and_decode(F.col("text"), vocabulary)
+    return table(spark, sf, "documents").select("doc_id", both.alias("x")).select(
+        "doc_id", F.floor(F.length("x.ids") / 4).alias("n_tokens"), F.sha2("x.ids", 256).alias("ids_sha256"),
+        F.sha2("x.decoded", 256).alias("decoded_sha256"))
