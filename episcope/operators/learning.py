@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+import math
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import (CountVectorizer, IndexToString, OneHotEncoder, RegexTokenizer, StandardScaler,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episcope.functions.expr import hashed_unit
@@ -68,10 +73,15 @@ def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFr
     return df.join(class_weights(df, label).select(label, F.col("weight").alias(out)), label, "left")
 
 
-def positive_weight(df: DataFrame, label: str, factor: float = 1.0) -> float:
-    """Negatives per positive, times a factor."""
-    row = df.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
-    return factor * row[0] / row[1]
+def with_training_weights(df: DataFrame, label: str, factor: float = 1.5) -> DataFrame:
+    """Add both weights of a 0/1 label from the frame's own class counts: ``balanced_weight`` n / (2 * n_class) and
+    ``positive_weight``, which is ``factor`` times the negatives per positive for positives and 1 for negatives."""
+    neg, pos = df.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
+    share = lambda n: (neg + pos) / (2.0 * n) if n else 1.0
+    hit = F.col(label) == 1
+    return df.withColumns({
+        "balanced_weight": F.when(hit, F.lit(share(pos))).otherwise(F.lit(share(neg))),
+        "positive_weight": F.when(hit, F.lit(factor * neg / pos if pos else 1.0)).otherwise(F.lit(1.0))})
 
 
 # --- features ---------------------------------------------------------------------------------------------------
@@ -117,102 +127,171 @@ def feature_names(df: DataFrame, col: str = "features") -> list[str]:
 
 # --- models -----------------------------------------------------------------------------------------------------
 
-def tree_models(label: str, seed: int = 42, weight: str | None = None) -> dict[str, Estimator]:
+#: Models that weigh the positive class and are therefore fitted without resampling.
+NOT_RESAMPLED = ("BoostedWeighted",)
+
+
+def tree_models(label: str, seed: int = 42, weights: bool = False) -> dict[str, Estimator]:
     """The four tree models with their published sizes. The last one is the boosted model with more, slower and narrower
-    trees and class weighting."""
+    trees. ``weights``: the first two take ``balanced_weight`` and the last ``positive_weight``."""
     # The published model sizes.
-    w = {"weightCol": weight} if weight else {}
+    balanced = {"weightCol": "balanced_weight"} if weights else {}
+    positive = {"weightCol": "positive_weight"} if weights else {}
     return {
-        "DecisionTree": DecisionTreeClassifier(labelCol=label, maxDepth=6, minInstancesPerNode=50, seed=seed, **w),
+        "DecisionTree": DecisionTreeClassifier(labelCol=label, maxDepth=6, minInstancesPerNode=50, seed=seed, **balanced),
         "RandomForest": RandomForestClassifier(labelCol=label, numTrees=300, maxDepth=10, minInstancesPerNode=20,
-                                               seed=seed, **w),
+                                               seed=seed, **balanced),
         "GradientBoosting": GBTClassifier(labelCol=label, maxIter=200, stepSize=0.05, maxDepth=5,
                                           minInstancesPerNode=20, subsamplingRate=0.8, seed=seed),
         "BoostedWeighted": GBTClassifier(labelCol=label, maxIter=500, stepSize=0.03, maxDepth=4,
                                          minInstancesPerNode=3, subsamplingRate=0.8, featureSubsetStrategy="0.7",
-                                         seed=seed, **w),
+                                         seed=seed, **positive),
     }
 
 
+def run_together(tasks: Sequence[Callable], threads: int = 8) -> list:
+    """Results of independent driver steps that mostly wait for Spark jobs, submitted from a bounded number of threads. The
+    first error is raised after the running ones have ended."""
+    if not tasks:
+        return []
+    spark = SparkSession.active()
+    with ThreadPoolExecutor(max_workers=min(threads, len(tasks))) as pool:
+        return list(pool.map(lambda run: run(), [inheritable_thread_target(spark)(t) for t in tasks]))
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """A transformer chain that was fitted on training rows, and these rows transformed and resampled."""
+    chain: PipelineModel
+    rows: DataFrame
+
+    def fit(self, estimator: Estimator) -> PipelineModel:
+        """The chain with the model behind it. It holds no resampler, so rows to be judged are only transformed."""
+        return PipelineModel(stages=[*self.chain.stages, estimator.fit(self.rows)])
+
+
+#: Training rows to a partition: many small fits run at once, so a small training set stays in one partition.
+ROWS_PER_PARTITION = 50_000
+
+
+def prepare(train: DataFrame, preproc: Pipeline, key: str, label: str, resampling: str = "none", ratio: float = 0.7,
+            seed: int = 42, features: str = "features") -> Prepared:
+    """Fit the chain on the training rows, transform and resample them, and weigh the result by its own class counts.
+
+    Only these rows are read, so levels, means and deviations, neighbours and weights know nothing of other rows. The
+    result is durable, and its order and partitions follow from the rows alone. Rows without a label take no part.
+    """
+    known = train.where(F.col(label).isNotNull())
+    chain = preproc.fit(known)
+    moved = chain.transform(known).select(key, label, F.col(features))
+    if resampling != "none":
+        arrays = resample(moved.withColumn(features, vector_to_array(features)), resampling, key, label, features, ratio, seed)
+        moved = arrays.withColumn(features, array_to_vector(features))
+    order = F.xxhash64(key, label, vector_to_array(features))
+    held = durable(with_training_weights(moved, label).withColumn("__order", order))
+    parts = math.ceil(held.count() / ROWS_PER_PARTITION) or 1
+    rows = held.repartition(parts, "__order").sortWithinPartitions("__order").drop("__order")
+    return Prepared(chain, durable(rows))
+
+
 def scored(model: Transformer, df: DataFrame, out: str = "score") -> DataFrame:
     """Probability of the positive class next to the input columns."""
     return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop(
         "rawPrediction", "probability", "prediction")
 
 
-def fit_and_eval(df: DataFrame, split: str, label: str, models: Mapping[str, Estimator], min_recall: float = 0.70,
-                 features: str = "features", train: str = "train", valid: str = "valid") -> DataFrame:
+def _judged(fitted: Transformer, rows: DataFrame, label: str, /, **names) -> DataFrame:
+    """Durable label and score of each row, with the grid cell's names."""
+    return durable(scored(fitted, rows).select(label, "score", *[F.lit(v).alias(n) for n, v in names.items()]))
+
+
+def fit_and_eval(df: DataFrame, split: str, key: str, label: str, models: Mapping[str, Estimator], preproc: Pipeline,
+                 resampling: str = "smote", ratio: float = 0.7, min_recall: float = 0.70, seed: int = 42,
+                 train: str = "train", valid: str = "valid", threads: int = 8) -> DataFrame:
     """Fit each model on the training rows, tune its threshold on the validation rows, and report all metrics per
-    model and split."""
-    data = df.select(split, label, features, *[c for c in df.columns if c == "weight"]).persist()
-    out = None
-    try:
-        for name, estimator in models.items():
-            model = estimator.fit(data.where(F.col(split) == train))
-            rows = scored(model, data).select(split, label, "score")
-            threshold = metrics.tune_threshold(rows.where(F.col(split) == valid), label, "score", min_recall).first()
-            judged = rows.withColumn("pred", (F.col("score") >= threshold["threshold"]).cast("int"))
-            # The scores are read several times below; a durable copy also ends the lineage of this model.
-            judged = durable(judged)
-            part = metrics.binary_metrics(judged, label, "pred", "score", [split]).withColumns(
-                {"model": F.lit(name), "threshold": F.lit(float(threshold["threshold"]))})
-            out = part if out is None else out.unionByName(part)
-    finally:
-        data.unpersist()
-    return out
-
-
-def cross_validate(df: DataFrame, key: str, label: str, models: Mapping[str, Estimator], k: int = 5, seed: int = 42,
-                   features: str = "features", resampling: str = "none", ratio: float = 0.7) -> DataFrame:
-    """Metrics per model and fold at threshold 0.5; resampling touches the training part of a fold only."""
-    folded = durable(stratified_folds(df.select(key, label, features), key, label, k, seed))
-    out = None
-    for fold in range(k):
-        train = folded.where(F.col("fold") != fold).drop("fold")
-        if resampling != "none":
-            arrays = resample(train.withColumn(features, vector_to_array(features)), resampling, key, label, features,
-                              ratio, seed)
-            train = durable(arrays.withColumn(features, array_to_vector(features)))
-        held = folded.where(F.col("fold") == fold)
-        for name, estimator in models.items():
-            rows = scored(estimator.fit(train), held).select(label, "score")
-            judged = durable(rows.withColumn("pred", (F.col("score") >= 0.5).cast("int")))
-            part = metrics.binary_metrics(judged, label, "pred", "score").withColumns(
-                {"model": F.lit(name), "fold": F.lit(fold)})
-            out = part if out is None else out.unionByName(part)
-    return out
-
-
-def imbalance_table(train: DataFrame, test: DataFrame, key: str, label: str, model: Estimator,
-                    methods: Sequence[str] = ("none", "smote", "borderline", "oversample"), ratio: float = 0.7,
-                    seed: int = 42, features: str = "features") -> DataFrame:
-    """How much the choice of resampling matters: one row of metrics per method on the same test rows."""
-    out = None
-    plain = train.select(key, label, vector_to_array(features).alias(features))
-    for method in methods:
-        rows = resample(plain, method, key, label, features, ratio, seed).withColumn(features, array_to_vector(features))
-        result = scored(model.fit(durable(rows)), test).select(label, "score")
-        judged = durable(result.withColumn("pred", (F.col("score") >= 0.5).cast("int")))
-        part = metrics.binary_metrics(judged, label, "pred", "score").select(
-            F.lit(method).alias("method"), "roc_auc", "pr_auc", "recall", "precision", "f1_score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    model and split. The chain is fitted on the training rows, which are resampled but for models with weights; training
+    metrics are those of the resampled rows."""
+    data = durable(df)
+    kinds = sorted({"none" if n in NOT_RESAMPLED else resampling for n in models})
+    rows = data.where(F.col(split) == train)
+    ready = dict(zip(kinds, run_together([lambda k=k: prepare(rows, preproc, key, label, k, ratio, seed) for k in kinds], threads)))
+
+    def cell(name: str, estimator: Estimator) -> DataFrame:
+        own = ready["none" if name in NOT_RESAMPLED else resampling]
+        model = own.fit(estimator)
+        others = durable(scored(model, data.where(F.col(split) != train)).select(split, label, "score"))
+        seen = scored(model.stages[-1], own.rows).select(F.lit(train).alias(split), label, "score")
+        best = metrics.tune_threshold(others.where(F.col(split) == valid), label, "score", min_recall).first()["threshold"]
+        both = others.unionByName(seen).withColumns({
+            "model": F.lit(name), "threshold": F.lit(float(best)), "pred": (F.col("score") >= best).cast("int")})
+        return durable(both)
+
+    parts = run_together([lambda n=n, e=e: cell(n, e) for n, e in models.items()], threads)
+    return metrics.binary_metrics(reduce(DataFrame.unionByName, parts), label, "pred", "score", ["model", split, "threshold"])
+
+
+def fold_rows(df: DataFrame, key: str, label: str, preproc: Pipeline, k: int = 5, seed: int = 42, resampling: str = "none",
+              ratio: float = 0.7, threads: int = 8) -> tuple[DataFrame, dict[int, Prepared]]:
+    """All rows with their fold, and the prepared training rows of each fold, which are those of the other folds."""
+    folded = durable(stratified_folds(df, key, label, k, seed))
+    one = lambda f: prepare(folded.where(F.col("fold") != f), preproc, key, label, resampling, ratio, seed)
+    return folded, dict(enumerate(run_together([lambda f=f: one(f) for f in range(k)], threads)))
+
+
+def cross_validate(df: DataFrame, key: str, label: str, models: Mapping[str, Estimator], preproc: Pipeline, k: int = 5,
+                   seed: int = 42, resampling: str = "none", ratio: float = 0.7, threads: int = 8) -> DataFrame:
+    """Metrics per model and fold at threshold 0.5.
+
+    Each fold has its own chain, fitted on its training rows and shared by the models; resampling touches the training rows
+    only, and not those of models with weights. All fits of the grid are submitted together, and one aggregate judges them.
+    """
+    kinds = sorted({"none" if n in NOT_RESAMPLED else resampling for n in models})
+    folded, ready = None, {}
+    for kind in kinds:  # fold numbers are hashes of keys, so they are the same each time
+        folded, ready[kind] = fold_rows(df, key, label, preproc, k, seed, kind, ratio, threads)
 
+    def cell(fold: int, name: str) -> DataFrame:
+        own = ready["none" if name in NOT_RESAMPLED else resampling][fold]
+        return _judged(own.fit(models[name]), folded.where(F.col("fold") == fold), label, model=name, fold=fold)
 
-def text_forest(df: DataFrame, label: str, text: str, numbers: Sequence[str], seed: int = 42, trees: int = 100) -> Model:
-    """Multi-class forest on word counts and scaled numbers with balanced class weights; adds ``predicted``."""
+    # The longest fits first, so that no thread is left with one at the end.
+    cells = [(f, n) for n in reversed(list(models)) for f in range(k)]
+    parts = run_together([lambda f=f, n=n: cell(f, n) for f, n in cells], threads)
+    judged = reduce(DataFrame.unionByName, parts).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    return metrics.binary_metrics(judged, label, "pred", "score", ["model", "fold"])
+
+
+def imbalance_table(train: DataFrame, test: DataFrame, key: str, label: str, models: Mapping[str, Estimator], preproc: Pipeline,
+                    methods: Sequence[str] = ("none", "smote", "borderline", "oversample"), ratio: float = 0.7,
+                    seed: int = 42, threads: int = 8) -> DataFrame:
+    """How much the choice of resampling matters: one row of metrics per model and method on the same test rows. The method
+    ``none`` leaves it to the weights of the models that have some. Every method has one chain and one set of training rows,
+    shared by the models; all fits are submitted together."""
+    ready = dict(zip(methods, run_together(
+        [lambda m=m: prepare(train, preproc, key, label, m, ratio, seed) for m in methods], threads)))
+    held = durable(test)
+    cells = [(m, n) for n in reversed(list(models)) for m in methods]
+    parts = run_together([lambda m=m, n=n: _judged(ready[m].fit(models[n]), held, label, method=m, model=n) for m, n in cells], threads)
+    judged = reduce(DataFrame.unionByName, parts).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    return metrics.binary_metrics(judged, label, "pred", "score", ["model", "method"]).select(
+        "method", "model", "roc_auc", "pr_auc", "recall", "precision", "f1_score")
+
+
+def text_forest(df: DataFrame, label: str, text: str, numbers: Sequence[str], seed: int = 42, trees: int = 100,
+                depth: int = 30) -> Model:
+    """Multi-class forest on word counts and scaled numbers with balanced class weights; adds ``predicted``. The published
+    trees grow without a limit; 30 levels are the most that Spark grows."""
     weighted = with_class_weights(df.where(F.col(label).isNotNull()), label)
     indexer = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(weighted)
     stages = [indexer, *preprocessor(scaled=numbers, text=text).getStages(),
               RandomForestClassifier(labelCol="__y", featuresCol="features", weightCol="weight", numTrees=trees,
-                                     maxDepth=10, seed=seed, predictionCol="__p"),
+                                     maxDepth=depth, seed=seed, predictionCol="__p"),
               IndexToString(inputCol="__p", outputCol="predicted", labels=indexer.labels)]
     return Pipeline(stages=stages).fit(weighted)
 
 
 def importances(model, names: Sequence[str]) -> DataFrame:
     """Impurity importance per named feature, largest first. The vector has one entry per feature."""
-    from pyspark.sql import SparkSession
     values = model.featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(names, values)]
     return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(

@@ -38,7 +38,7 @@ def test_published_counts(monkeypatch, spark, sf, query, module, function, name,
     assert arguments(monkeypatch, spark, sf, module, function, query)[name] == value
 
 
-@pytest.mark.parametrize("query", ["fit_and_eval", "cross_validate"])
+@pytest.mark.parametrize("query", ["fit_and_eval", "cross_validate", "imbalance_table"])
 def test_every_model_at_its_size(monkeypatch, spark, sf, query):
     models = arguments(monkeypatch, spark, sf, learning, query, query)["models"]
     assert list(models) == MODELS and models["RandomForest"].getNumTrees() == 300
@@ -53,9 +53,8 @@ def test_forest_of_importances(monkeypatch, spark, sf):
     assert seen == [300]
 
 
-@pytest.mark.parametrize("query", ["imbalance_table", "permutation_importance"])
-def test_a_table_for_every_model(monkeypatch, spark, sf, query):
+def test_permutation_for_every_model(monkeypatch, spark, sf):
     small = DecisionTreeClassifier(labelCol="debt", maxDepth=1)
-    monkeypatch.setattr(learning, "tree_models", lambda label: dict.fromkeys(MODELS, small))
-    monkeypatch.setattr(learning, query, lambda *args: spark.range(1))
-    assert [r["model"] for r in entry.queries()[query](spark, sf).collect()] == MODELS
+    monkeypatch.setattr(learning, "tree_models", lambda label, weights: dict.fromkeys(MODELS, small))
+    monkeypatch.setattr(learning, "permutation_importance", lambda *args: spark.range(1))
+    assert [r["model"] for r in entry.queries()["permutation_importance"](spark, sf).collect()] == MODELS

@@ -359,20 +359,67 @@ def test_preprocessor_unknown_and_binary(spark):
 def test_evaluation_reports_every_split(spark, rng):
     n = 600
     x = rng.normal(size=n)
-    y = (rng.random(n) < 1 / (1 + np.exp(-2 * x))).astype(int)
-    df = frame(spark, id=np.arange(n), x=x, y=y)
-    rows = learning.preprocessor(scaled=["x"]).fit(df).transform(df)
-    split = learning.stratified_split(rows, "id", "y", {"train": 0.7, "valid": 0.15, "test": 0.15})
-    model = {"DecisionTree": learning.tree_models("y")["DecisionTree"]}
-    got = learning.fit_and_eval(split, "split", "y", model).toPandas()
-    assert set(got.split) == {"train", "valid", "test"} and (got.roc_auc > 0.6).all()
-    folds = learning.cross_validate(rows, "id", "y", model, k=3, resampling="smote").toPandas()
-    assert len(folds) == 3 and folds.total.sum() == n
-    fitted = model["DecisionTree"].fit(rows)
-    top = learning.importances(fitted, learning.feature_names(rows)).first()
+    y = (rng.random(n) < 1 / (1 + np.exp(-2 * x - 1))).astype(int)
+    df = frame(spark, id=np.arange(n), x=x, y=1 - y)
+    chain, few = learning.preprocessor(scaled=["x"]), int((1 - y).sum())
+    split = learning.stratified_split(df, "id", "y", {"train": 0.7, "valid": 0.15, "test": 0.15})
+    models = learning.tree_models("y", weights=True)
+    small = {"DecisionTree": models["DecisionTree"], "BoostedWeighted": models["BoostedWeighted"].copy({models["BoostedWeighted"].maxIter: 3})}
+    got = learning.fit_and_eval(split, "split", "id", "y", small, chain).toPandas().set_index(["model", "split"])
+    assert set(got.index) == {(m, s) for m in small for s in ("train", "valid", "test")} and (got.roc_auc > 0.6).all()
+    # Only training rows are resampled, and not those of the model with weights.
+    train = split.where("split = 'train'").groupBy("y").count().toPandas().set_index("y")["count"]
+    assert got.total["DecisionTree", "train"] == train[0] + int(0.7 * train[0]) and got.total["BoostedWeighted", "train"] == train.sum()
+    assert got.total["DecisionTree", "valid"] + got.total["DecisionTree", "test"] + train.sum() == n
+    folds = learning.cross_validate(df, "id", "y", small, chain, k=3, resampling="smote").toPandas()
+    assert len(folds) == 6 and (folds.groupby("model").total.sum() == n).all() and ((folds.tp + folds.fn).groupby(folds.model).sum() == few).all()
+    table = learning.imbalance_table(split.where("split = 'train'"), split.where("split = 'test'"), "id", "y", small, chain, methods=("none", "smote")).toPandas()
+    assert len(table) == 4 and (table.roc_auc > 0.6).all()
+    own = learning.prepare(df, chain, "id", "y")
+    top = learning.importances(small["DecisionTree"].fit(own.rows), learning.feature_names(own.chain.transform(df))).first()
     assert top["importance"] == pytest.approx(1.0)
 
 
+def test_chains_know_training_rows_only(spark, rng):
+    n = 300
+    df = frame(spark, id=np.arange(n), x=rng.normal(size=n), c=np.where(np.arange(n) % 3 == 0, "a", "b"), y=(np.arange(n) % 4 == 0).astype(int))
+    folded = learning.stratified_folds(df, "id", "y", 3)
+    held = (F.col("fold") == 0) & (F.col("id") % 2 == 0)
+    changed = folded.withColumns({"x": F.when(held, 1e6).otherwise(F.col("x")), "c": F.when(held, "zz").otherwise(F.col("c"))}).drop("fold")
+    chain = learning.preprocessor(categorical=["c"], scaled=["x"])
+    for kind in ("none", "smote", "oversample"):
+        (_, before), (rows, after) = (learning.fold_rows(x, "id", "y", chain, 3, resampling=kind) for x in (df, changed))
+        kept = [r.chain.stages[-2] for r in (before[0], after[0])]
+        assert [*kept[0].mean, *kept[0].std] == pytest.approx([*kept[1].mean, *kept[1].std], rel=1e-12)
+        assert before[0].chain.stages[0].labels == after[0].chain.stages[0].labels == ["a", "b"]
+        sets = [sorted((r["y"], *r["features"]) for r in own.rows.collect()) for own in (before[0], after[0])]
+        assert len(sets[0]) == len(sets[1]) and np.allclose(sets[0], sets[1], rtol=1e-9)
+        assert "zz" in after[1].chain.stages[0].labels  # there the changed rows are training rows
+        seen = after[0].chain.transform(rows.where("fold = 0"))
+        assert seen.count() == rows.where("fold = 0").count()
+
+
+def test_training_rows_do_not_depend_on_partitions(spark, rng):
+    df = frame(spark, id=np.arange(200), x=rng.normal(size=200), y=(np.arange(200) % 5 == 0).astype(int))
+    chain = learning.preprocessor(passthrough=["x"])
+    first, second = (learning.prepare(df.repartition(n), chain, "id", "y", "smote").rows.collect() for n in (2, 7))
+    assert [r["id"] for r in first] == [r["id"] for r in second] and len(first) == len(second)  # order included
+
+
+def test_training_weights(spark):
+    df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "y int")
+    got = {r["y"]: (r["balanced_weight"], r["positive_weight"]) for r in learning.with_training_weights(df, "y").collect()}
+    assert got == {0: (8 / 12, 1.0), 1: (2.0, 4.5)}
+    assert learning.with_training_weights(df.where("y = 0"), "y").select("positive_weight").distinct().collect()[0][0] == 1.0
+
+
+def test_together_keeps_order_and_raises(spark):
+    assert learning.run_together([lambda i=i: spark.range(i).count() for i in range(20)], 4) == list(range(20))
+    assert learning.run_together([]) == []
+    with pytest.raises(ZeroDivisionError):
+        learning.run_together([lambda: 1 / 0, lambda: 1])
+
+
 def test_tails_at_many_degrees_of_freedom():
     for dof in (2e6, 1e10, 1e14):
         assert dist.t_two_sided(2.0, dof) == pytest.approx(math.erfc(math.sqrt(2.0)), rel=1e-5)

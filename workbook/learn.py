@@ -68,9 +68,7 @@ def _debt(spark, sf):
 
 def _debt_vectors(spark, sf):
     rows = _debt(spark, sf)
-    model = learning.preprocessor(categorical=["c_mktsegment", "zone"], passthrough=["far"],
-                                  scaled=["nation", "slot"]).fit(rows)
-    return model.transform(rows).select("c_custkey", "debt", "features")
+    return _debt_chain().fit(rows).transform(rows).select("c_custkey", "debt", "features")
 
 
 @query("oversample", """WITH n AS (SELECT count(*) FILTER (WHERE c_acctbal < 0) AS few,
@@ -121,61 +119,86 @@ def feature_vectors(spark, sf):
     return _debt_vectors(spark, sf).withColumn("features", vector_to_array("features"))
 
 
+def _debt_chain(**changes):
+    return learning.preprocessor(**{"categorical": ["c_mktsegment", "zone"], "passthrough": ["far"], "scaled": ["nation", "slot"], **changes})
+
+
 @query("fit_and_eval")
 def fit_and_eval(spark, sf):
-    split = learning.stratified_split(_debt_vectors(spark, sf), "c_custkey", "debt",
-                                      {"train": 0.7, "valid": 0.15, "test": 0.15})
-    weighted = learning.with_class_weights(split, "debt")
-    return learning.fit_and_eval(weighted, "split", "debt", learning.tree_models("debt", weight="weight"))
+    split = learning.stratified_split(_debt(spark, sf), "c_custkey", "debt", {"train": 0.7, "valid": 0.15, "test": 0.15})
+    return learning.fit_and_eval(split, "split", "c_custkey", "debt", learning.tree_models("debt", weights=True), _debt_chain())
+
+
+@query("fold_training_rows", """WITH n AS (SELECT CAST(c_acctbal < 0 AS INTEGER) AS debt, count(*) AS n FROM customer GROUP BY 1),
+t AS (SELECT fold, debt, n - ((n - fold - 1) // 5 + 1) AS n FROM n, (SELECT unnest(range(5)) AS fold)),
+m AS (SELECT fold, max(n) FILTER (WHERE debt = 0) AS many, max(n) FILTER (WHERE debt = 1) AS few FROM t GROUP BY fold)
+SELECT CAST(fold AS INTEGER) AS fold, 0 AS debt, many AS n, round((many + up) / (2.0e0 * many), 9) AS weight
+FROM (SELECT *, CAST(floor(many * 0.7e0) AS BIGINT) AS up FROM m)
+UNION ALL SELECT CAST(fold AS INTEGER), 1, up, round((many + up) / (2.0e0 * up), 9)
+FROM (SELECT *, CAST(floor(many * 0.7e0) AS BIGINT) AS up FROM m)""")
+def fold_training_rows(spark, sf):
+    """Training rows of each fold after the resampling inside it, with the class weight that they give."""
+    _, ready = learning.fold_rows(_debt(spark, sf), "c_custkey", "debt", _debt_chain(), resampling="smote")
+    parts = [own.rows.select(F.lit(fold).alias("fold"), "debt", "balanced_weight") for fold, own in ready.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("fold", "debt").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.max("balanced_weight"), 9).alias("weight"))
+
+
+@query("fold_support", """WITH n AS (SELECT CAST(c_acctbal < 0 AS INTEGER) AS debt, count(*) AS n FROM customer GROUP BY 1),
+t AS (SELECT fold, debt, (n - fold - 1) // 5 + 1 AS n FROM n, (SELECT unnest(range(5)) AS fold))
+SELECT 'DecisionTree' AS model, CAST(fold AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) FILTER (WHERE debt = 1) AS BIGINT) AS positive
+FROM t GROUP BY fold""")
+def fold_support(spark, sf):
+    """What each fold of the cross-validation is judged on."""
+    tree = {"DecisionTree": learning.tree_models("debt", weights=True)["DecisionTree"]}
+    folds = learning.cross_validate(_debt(spark, sf), "c_custkey", "debt", tree, _debt_chain(), resampling="smote")
+    return folds.select("model", "fold", "total", (F.col("tp") + F.col("fn")).alias("positive"))
 
 
 @query("cross_validate")
 def cross_validate(spark, sf):
-    folds = learning.cross_validate(_debt_vectors(spark, sf), "c_custkey", "debt", learning.tree_models("debt"),
-                                    resampling="oversample")
+    folds = learning.cross_validate(_debt(spark, sf), "c_custkey", "debt", learning.tree_models("debt", weights=True),
+                                    _debt_chain(), resampling="smote")
     return metrics.cv_summary(folds, ["accuracy", "precision", "recall", "f1_score", "roc_auc", "pr_auc"], ["model"])
 
 
-def _by_model(table_of):
-    """The tables of all tree models under each other, with the model's name."""
-    parts = [table_of(estimator).withColumn("model", F.lit(name)) for name, estimator in learning.tree_models("debt").items()]
-    return reduce(DataFrame.unionByName, parts)
-
-
 @query("imbalance_table")
 def imbalance_table(spark, sf):
-    split = durable(learning.stratified_split(_debt_vectors(spark, sf), "c_custkey", "debt", {"train": 0.7, "test": 0.3}))
+    split = durable(learning.stratified_split(_debt(spark, sf), "c_custkey", "debt", {"train": 0.7, "test": 0.3}))
     train, test = split.where("split = 'train'").drop("split"), split.where("split = 'test'")
-    return _by_model(lambda estimator: learning.imbalance_table(train, test, "c_custkey", "debt", estimator))
+    return learning.imbalance_table(train, test, "c_custkey", "debt", learning.tree_models("debt", weights=True), _debt_chain())
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    rows = _debt_vectors(spark, sf)
-    model = learning.tree_models("debt")["RandomForest"].fit(rows)
-    return learning.importances(model, learning.feature_names(rows))
+    split = learning.stratified_split(_debt(spark, sf), "c_custkey", "debt", {"train": 0.7, "valid": 0.15, "test": 0.15})
+    own = learning.prepare(split.where("split = 'train'"), _debt_chain(), "c_custkey", "debt", "smote")
+    model = learning.tree_models("debt", weights=True)["RandomForest"].fit(own.rows)
+    return learning.importances(model, learning.feature_names(own.chain.transform(split)))
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     rows = _debt(spark, sf)
-    pre = learning.preprocessor(categorical=["c_mktsegment"], passthrough=["far"], scaled=["nation", "slot"])
-    from pyspark.ml import Pipeline
+    own = learning.prepare(rows, _debt_chain(categorical=["c_mktsegment"]), "c_custkey", "debt")
+    models = learning.tree_models("debt", weights=True)
 
-    def one(estimator):
-        model = Pipeline(stages=[*pre.getStages(), estimator]).fit(rows)
-        return learning.permutation_importance(model, rows, "c_custkey", "debt", ["c_mktsegment", "far", "nation", "slot"])
+    def one(name):
+        found = learning.permutation_importance(own.fit(models[name]), rows, "c_custkey", "debt", ["c_mktsegment", "far", "nation", "slot"])
+        return found.withColumn("model", F.lit(name))
 
-    return _by_model(one)
+    return reduce(DataFrame.unionByName, learning.run_together([lambda n=n: one(n) for n in models]))
 
 
 @query("triage_forest")
 def triage_forest(spark, sf):
+    """The forest is fitted on four fifths of the rows and judged on the others."""
     df = rules.triage_label(registry(spark, sf), AS_OF).where("triage_reason <> 'None'").select(
-        "l_orderkey", "l_linenumber", "triage_reason", "symptoms", "temp",
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "triage_reason", "symptoms", "temp",
         days_since("arrival_date", AS_OF).alias("days_since_arrival"))
-    model = learning.text_forest(df, "triage_reason", "symptoms", ["temp", "days_since_arrival"])
-    return metrics.class_report(model.transform(df), "triage_reason", "predicted")
+    split = durable(learning.stratified_split(df, "id", "triage_reason", {"train": 0.8, "test": 0.2}))
+    model = learning.text_forest(split.where("split = 'train'"), "triage_reason", "symptoms", ["temp", "days_since_arrival"])
+    return metrics.class_report(model.transform(split.where("split = 'test'")), "triage_reason", "predicted")
 
 
 SEASON_FEATURES = ["peak_rate", "mean_rate", "cum_rate", "n_weeks", "peak_week", "cv"]
