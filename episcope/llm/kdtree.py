@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episcope.llm.common import small_side, with_running
+from episcope.llm.common import free_name, numbered, small_side, with_running
 from episcope.session import durable
 
 UNIT = 1 << 48
@@ -17,6 +17,7 @@ BINS = 1 << 12
 TOLERANCE = 0.002
 #: A group of equal texts above this share of a leaf is split between leaves, row by row.
 HEAVY = 0.01
+ADDED = ["size", "text_crc32", "shard", "slot"]
 
 
 def text_coordinate(c: Column) -> Column:
@@ -47,8 +48,14 @@ def _descend(points: DataFrame, cuts: dict[int, dict], leaves: int) -> DataFrame
             .drop("__cut"))
 
 
-def _medians(points: DataFrame, nodes: dict[int, int], dims: int, leaves: int, leaf: float) -> dict[int, dict]:
-    """For each node of more than one leaf the axis and the cut: points below ``at`` on the axis go left, those at it go
+def _spans(points: DataFrame, dims: int) -> list[int]:
+    """The whole table's span of each dimension, at least 1."""
+    c = lambda d: F.element_at("coords", d + 1)
+    return [max(1, x) for x in points.agg(*[(F.max(c(d)) - F.min(c(d))).alias(f"s{d}") for d in range(dims)]).head()]
+
+
+def _medians(points: DataFrame, nodes: dict[int, int], dims: int, leaves: int, leaf: float, whole: list[int]) -> dict[int, dict]:
+    """For each node of more than one leaf the axis (whose span is the largest part of the ``whole`` one) and the cut: points below ``at`` on the axis go left, those at it go
     left up to the tie value ``edge``; ``right`` is the first leaf of the right side.
 
     All nodes of a level are settled together. A histogram of 4096 bins per node finds the bin that the weighted median
@@ -62,7 +69,7 @@ def _medians(points: DataFrame, nodes: dict[int, int], dims: int, leaves: int, l
         F.min(coord(d)).alias(f"lo{d}"), F.max(coord(d)).alias(f"hi{d}"))]).collect()
     state, cuts = {}, {}
     for r in spans:
-        axis = max(range(dims), key=lambda d: (r[f"hi{d}"] - r[f"lo{d}"], -d))
+        axis = max(range(dims), key=lambda d: ((r[f"hi{d}"] - r[f"lo{d}"]) / whole[d], -d))
         left = nodes[r["node"]] // 2
         state[r["node"]] = {"axis": axis, "want": float(r["w"]) * left / nodes[r["node"]], "lo": r[f"lo{axis}"],
                             "hi": r[f"hi{axis}"], "at": None, "right": r["node"] + left}
@@ -99,55 +106,75 @@ def _medians(points: DataFrame, nodes: dict[int, int], dims: int, leaves: int, l
     return cuts
 
 
-def kd_shards(df: DataFrame, coordinates: list[Column], size: Column, shards: int | None = None,
-              target_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
-    """All rows with ``size``, ``text_crc32``, ``shard`` (leaves from left to right) and ``slot`` (gapless from 0 within
-    the shard, in hash order or in that of the column ``order``, which numbers all rows from 0). Give the number of shards, or the bytes a leaf should reach.
-
-    Nodes split along the dimension with the widest span, at the weighted median (or at the share of leaves that the left
-    side takes), until each leaf has its bytes. Points are groups of equal texts, which stay together under the metadata
-    of their smallest id; a group of over 1 % of a leaf is cut between leaves row by row instead, so copies of one text
-    cannot overload a shard. Null texts count as empty; null metadata lies at the low end; rows with null or repeated ids
-    are rows like others. An empty table gives an empty result; with too few texts some shards stay empty. The four added
-    columns replace columns of the same name.
+def shard_table(df: DataFrame, carry: list[str], coordinates: list[Column], size: Column, shards: int | None = None,
+                target_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text", order: str | None = None,
+                heavy: float = HEAVY) -> DataFrame:
+    """The carried columns of all rows with ``size``, ``text_crc32``, ``shard`` (leaves from left to right) and ``slot``
+    (gapless from 0 within the shard, in hash order or in that of the column ``order``, which numbers all rows from 0). Give
+    the number of shards, or the bytes a leaf should reach.
+
+    Nodes split along the dimension that is widest in terms of the whole table's span of it, at the weighted median (or at
+    the share of leaves that the left side takes), until each leaf has its bytes. Points are groups of equal texts, which
+    stay together under the metadata of their smallest id; a group above the share ``heavy`` of a leaf is cut between leaves
+    row by row instead, so copies of one text cannot overload a shard. Null texts count as empty; null metadata lies at the
+    low end; rows with null or repeated ids are rows like others. An empty table gives an empty result; with too few texts
+    some shards stay empty. The four added columns replace carried ones of the same name. Texts are read once, for their
+    size and hashes, and never shuffled.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     dims = len(coordinates)
-    own = ["size", "text_crc32", "shard", "slot"]
-    held = [c for c in df.columns if c.lower() not in own]
-    # The frame's columns travel in one struct: their names cannot clash with those used here.
-    rows = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in held]).alias("row"), size.cast("long").alias("weight"),
-        F.crc32(body).alias("crc"), F.col(f"`{doc_id}`").alias("id"), F.array(*coordinates).alias("own_coords"),
-        F.struct(F.xxhash64(body), F.hash(body), F.length(body)).alias("g"))  # two hashes and the length name a text
-    narrow = rows.select("g", "weight", "id", "own_coords")
-    groups = durable(narrow.groupBy("g").agg(
+    held = [c for c in carry if c.lower() not in ADDED]
+    # Carried columns travel in one struct: their names cannot clash with those used here.
+    rows = durable(df.select(
+        F.struct(*[F.col(f"`{c}`") for c in held], F.lit(0).alias(free_name(df, "__one"))).alias("row"),
+        F.col(f"`{order}`").alias("rank") if order else F.lit(None).cast("long").alias("rank"),
+        size.cast("long").alias("weight"), F.crc32(body).alias("crc"), F.col(f"`{doc_id}`").alias("id"),
+        F.array(*coordinates).alias("own_coords"),
+        F.struct(F.xxhash64(body), F.hash(body), F.length(body)).alias("g")))  # two hashes and the length name a text
+    groups = durable(rows.groupBy("g").agg(
         F.sum("weight").alias("gw"), F.count(F.lit(1)).alias("copies"),
         F.min(F.struct(F.col("id").isNull(), "id", "own_coords"))["own_coords"].alias("coords")))
-    total = groups.agg(F.sum("gw").alias("w")).head()["w"] or 0
+    found = groups.agg(F.sum("gw").alias("w"), F.sum("copies").alias("n")).head()
+    total, n = found["w"] or 0, found["n"] or 0
     leaves = shards if shards is not None else max(1, math.ceil(total / target_bytes))
     leaf = total / leaves
-    heavy = (F.col("copies") > 1) & (F.col("gw") > F.lit(HEAVY * leaf))
-    tie = F.shiftrightunsigned(F.when(heavy, F.xxhash64("g", "id")).otherwise(F.xxhash64("g")), 16)
-
-    def placed(frame: DataFrame) -> DataFrame:
-        return (frame.drop("own_coords").join(groups, "g").withColumn("tie", tie).withColumn("node", F.lit(0))
-                .drop("g", "gw", "copies"))
+    cut_up = (F.col("copies") > 1) & (F.col("gw") > F.lit(heavy * leaf))
+    tie = F.shiftrightunsigned(F.when(cut_up, F.xxhash64("g", "id")).otherwise(F.xxhash64("g")), 16)
 
     # Only groups to be cut need their rows; the others are one point each.
-    whole = groups.where(~heavy).select(F.col("gw").alias("weight"), "coords", F.shiftrightunsigned(F.xxhash64("g"), 16).alias("tie"))
-    cut = narrow.join(small_side(durable(groups.where(heavy))), "g").select("weight", "coords", tie.alias("tie"))
+    whole = groups.where(~cut_up).select(F.col("gw").alias("weight"), "coords", F.shiftrightunsigned(F.xxhash64("g"), 16).alias("tie"))
+    cut = rows.select("g", "weight", "id").join(small_side(durable(groups.where(cut_up))), "g").select("weight", "coords", tie.alias("tie"))
     points = durable(whole.unionByName(cut).withColumn("node", F.lit(0)))
-    nodes, levels = {0: leaves}, []
-    while total and any(n > 1 for n in nodes.values()):
-        cuts = _medians(points, nodes, dims, leaves, leaf)
+    nodes, levels, spans = {0: leaves}, [], _spans(points, dims) if total else []
+    while total and any(k > 1 for k in nodes.values()):
+        cuts = _medians(points, nodes, dims, leaves, leaf, spans)
         levels.append(cuts)
         points = durable(_descend(points, cuts, leaves))
-        nodes = {k: v for n, own in nodes.items() for k, v in (((n, own // 2), (n + own // 2, own - own // 2)) if own > 1 else ((n, own),))}
-    found = placed(rows)
+        nodes = {k: v for i, own in nodes.items() for k, v in (((i, own // 2), (i + own // 2, own - own // 2)) if own > 1 else ((i, own),))}
+    # Groups that hold a hundredth of the rows, fewer than a hundred by arithmetic, meet their rows by broadcast.
+    many = F.col("copies") * 100 > F.lit(n)
+    hot = groups.where(many)
+    apart = F.broadcast(hot.select("g"))
+    placed = (rows.join(apart, "g", "left_anti").join(groups.where(~many), "g")
+              .unionByName(rows.join(F.broadcast(hot), "g")))
+    placed = placed.select("row", "rank", "weight", "crc", "id", "coords", tie.alias("tie"), F.lit(0).alias("node"))
     for cuts in levels:
-        found = _descend(found, cuts, leaves)
-    numbered = with_running(found.select("row", "weight", "crc", F.col("node").alias("shard"), "id"), "shard",
-                            [F.col("id"), F.col("crc"), F.col("weight")], F.col("weight"), "slot", "bytes_before",
-                            rank=F.col(f"row.`{order}`") if order else None)
-    return numbered.select("row.*", F.col("weight").alias("size"), F.col("crc").alias("text_crc32"), "shard", "slot")
+        placed = _descend(placed, cuts, leaves)
+    placed = durable(placed.select("row", "rank", "weight", "crc", F.col("node").alias("shard"), "id"))
+    slots = with_running(placed, "shard", [F.col("id"), F.col("crc"), F.col("weight")], F.col("weight"), "slot", "bytes_before",
+                         rank=F.col("rank") if order else None)
+    return slots.select(*[F.col(f"row.`{c}`") for c in held], F.col("weight").alias("size"), F.col("crc").alias("text_crc32"), "shard", "slot")
+
+
+def kd_shards(df: DataFrame, coordinates: list[Column], size: Column, shards: int | None = None,
+              target_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text", order: str | None = None,
+              heavy: float = HEAVY) -> DataFrame:
+    """All columns of all rows with the columns of ``shard_table``, which are found on narrow rows; the rows themselves are
+    shuffled once, to meet them. ``order`` must number the rows from 0 without gaps, and so names them; without it they are
+    numbered as they are stored."""
+    row = order or free_name(df, "__row")
+    rows = df if order else numbered(df, row)
+    placed = shard_table(rows, [row], coordinates, size, shards, target_bytes, doc_id, text, order, heavy)
+    held = [c for c in df.columns if c.lower() not in ADDED]
+    return (rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*held, row])]).join(durable(placed), row)
+            .select(*[F.col(f"`{c}`") for c in held], *ADDED))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import heapq
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episcope.llm.common import free_name, with_running
+from episcope.llm.common import free_name, numbered, with_running
 from episcope.session import durable
 
 OTHER = "*"
 MAX_PERIOD = 100_000
+#: A file of the mix holds about so many bytes of text at most.
+PART_BYTES = 128 << 20
 
 
 def period_slots(weights: dict[str, int]) -> dict[str, list[int]]:
@@ -99,40 +100,26 @@ def mix(df: DataFrame, weights: dict[str, int], block_bytes: int, source: str =
 
 def mixed(df: DataFrame, weights: dict[str, int], block_bytes: int, source: str = "source", doc_id: str = "doc_id",
           text: str = "text") -> DataFrame:
-    """The rows in the order of the mix: sorted ranges of positions, so files written from them hold the mix in turn."""
-    inner = {"mix_source", "size", "start", "block", "release", "deadline", "slot", "position", "in_period", "slots", "p",
-             "earlier"}
-    clash = [c for c in df.columns if c.lower() in inner]
-    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row__"), F.col(f"`{source}`").alias("source__"),
-                     F.col(f"`{doc_id}`").alias("id__"), F.col(f"`{text}`").alias("text__")) if clash else None
-    if held is not None:
-        placed = mix(held, weights, block_bytes, "source__", "id__", "text__")
-        return placed.repartitionByRange("position", "start").sortWithinPartitions("position", "start").select("row__.*")
-    placed = mix(df, weights, block_bytes, source, doc_id, text)
-    return (placed.repartitionByRange("position", "start").sortWithinPartitions("position", "start")
+    """The rows in the order of the mix: sorted ranges of positions, so files written from them hold the mix in turn.
+
+    Places are found on narrow rows (number, source, id, size and hash of the text). The rows themselves are shuffled twice:
+    once to meet their place, once to the partition that holds it; a partition takes a range of whole blocks.
+    """
+    row, body = free_name(df, "__row"), F.col(f"`{text}`")
+    rows = numbered(df, row)
+    narrow = durable(rows.select(F.col(row).alias("row__"), F.col(f"`{source}`").alias("source__"), F.col(f"`{doc_id}`").alias("id__"),
+                                 F.octet_length(body).alias("bytes__"), F.hex(F.xxhash64(body)).alias("hash__")))
+    placed = mix(narrow, weights, block_bytes, "source__", "id__", "hash__", F.col("bytes__"))
+    placed = durable(placed.select(F.col("row__").alias(row), F.col("position").alias("position__"), F.col("start").alias("start__")))
+    blocks = (placed.agg(F.max("position__")).head()[0] or 0) + 1
+    total = blocks * block_bytes
+    parts = max(1, min(blocks, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))))
+    part = F.floor(F.col("position__") * parts / blocks).cast("int")
+    return (rows.join(placed, row).repartitionById(parts, part).sortWithinPartitions("position__", "start__")
             .select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 def ranked_as_stored(df: DataFrame, name: str = "mix_rank") -> DataFrame:
     """The rows with their number from 0 in the order in which ``mixed`` wrote them: by file and place in the file. A
-    frame that is not read straight from Parquet files is numbered in its own order. A row per file reaches the driver."""
-    plan = df._jdf.queryExecution().analyzed()
-    while plan.nodeName() in ("Project", "SubqueryAlias", "CollectMetrics"):
-        plan = plan.children().apply(0)
-    part, at = free_name(df, "__part"), free_name(df, "__at")
-    if plan.children().isEmpty() and "parquet" in plan.toString().lower():
-        rows = df.select("*", F.col("_metadata.file_name").alias(part), F.col("_metadata.row_index").alias(at))
-    else:
-        i = F.monotonically_increasing_id()
-        rows = durable(df.select("*", i.alias(at)).select("*", F.shiftright(at, 33).cast("string").alias(part))
-                       .withColumn(at, F.col(at).bitwiseAND((1 << 33) - 1)))
-    counted = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()
-    # Names start with the number of the writing task; a task's later files have later names.
-    number = lambda r: (int(m[1]) if (m := re.match(r"(?:part-)?(\d+)", r[part])) else 0, r[part])
-    before, total = [], 0
-    for r in sorted(counted, key=number):
-        before.append((r[part], total))
-        total += r["n"]
-    starts = df.sparkSession.createDataFrame(before, f"`{part}` string, `{name}` long")
-    return (rows.join(F.broadcast(starts), part).withColumn(name, F.col(name) + F.col(at))
-            .select(*[F.col(f"`{c}`") for c in df.columns], name))
+    frame that is not read straight from Parquet files is numbered in its own order."""
+    return numbered(df, name)

@@ -101,8 +101,8 @@ def _battery(token: Column) -> Column:
         counts = F.transform(F.sequence(F.lit(0), F.length(a)), lambda i: F.when(
             i > 0, F.length(b) - F.length(F.replace(b, F.substr(a, i, F.lit(1)), F.lit("")))).otherwise(0).cast("double"))
         # Names change the case of letters at will, so case counts only next to digits.
-        upper = F.when(b.rlike("[0-9]"), 1).otherwise(0)
-        kind = F.transform(symbols, lambda c: F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), upper).when(c.rlike("[0-9]"), 2).otherwise(3))
+        cased = F.split(F.when(b.rlike("[0-9]"), b).otherwise(F.lower(b)), "")
+        kind = F.transform(cased, lambda c: F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3))
         folded = F.lower(b)
         letters = F.array(*[(F.length(b) - F.length(F.replace(folded, F.lit(x), F.lit("")))).cast("double") for x in _LOWER])
 
@@ -110,19 +110,23 @@ def _battery(token: Column) -> Column:
             return F.aggregate(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1),
                                           lambda p, q: (p != q).cast("double")), F.lit(0.0), lambda s, v: s + v)
 
+        def total(x: Column) -> Column:
+            return F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
+
+        # No lambda below refers to a sum: it would be worked out again for each symbol. Sums of whole numbers are exact, so
+        # none of them needs the deviations from the mean.
         def measured(x: Column) -> Column:
             squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c)
             chi = k / n * squares - n
             z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
             high = F.transform(x, lambda v: v > k / 2)
-            n1 = F.aggregate(high, F.lit(0.0), lambda s, v: s + v.cast("double"))
+            n1 = total(high)
             pairs = 2 * n1 * (n - n1)
             z_runs = (changes(high) + 1 - (pairs / n + 1)) / F.sqrt(F.greatest(pairs * (pairs - n) / (n * n * (n - 1)), F.lit(1e-9)))
-            mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-            off = F.transform(x, lambda v: v - mean)
-            var = F.aggregate(off, F.lit(0.0), lambda s, v: s + v * v)
-            cov = F.aggregate(F.zip_with(F.slice(off, F.lit(1), F.size(off) - 1), F.slice(off, F.lit(2), F.size(off) - 1),
-                                         lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+            mean = total(x) / n
+            var = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v) - n * mean * mean
+            products = total(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda p, q: p * q))
+            cov = products - mean * (2 * n * mean - F.element_at(x, 1) - F.element_at(x, -1)) + (n - 1) * mean * mean
             z_serial = (cov / F.greatest(var, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
             equal = (squares - n) / 2
             of = n * (n - 1) / 2

@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from episcope.llm import decontaminate, html, kdtree, language, mixing, neighbours, queries, secrets, simhash, urllists, warc
+from episcope.llm import common, decontaminate, html, kdtree, language, mixing, neighbours, queries, secrets, simhash, urllists, warc
 from tests.conftest import rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -103,6 +104,19 @@ def base_spans(text):
     return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
 
 
+def test_long_random_tokens_take_linear_time(spark):
+    rng, letters = random.Random(4), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    tokens = ["".join(rng.choices(letters, k=n)) for n in (1000, 50_000, 200_000)]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(tokens)], "doc_id long, text string")
+    took = []
+    for i in range(3):
+        began = time.perf_counter()
+        row = secrets.secret_report(docs.where(f"doc_id = {i}")).first()
+        took.append(time.perf_counter() - began)
+        assert row["spans"] == f"random:2:{2 + len(tokens[i])}"
+    assert took[2] < 60 and took[2] - took[1] < 12 * max(1.0, took[1])  # four times the symbols
+
+
 def test_secrets_against_patterns(spark, sf):
     rng = random.Random(2)
     pieces = ["password=hunter22x", "Secret : 'short'", 'api_key": "abcDEF123456"', "AKIA" + "A1B2" * 4, "AKIAA", "AKIAAKIA" + "9" * 9,
@@ -336,6 +350,27 @@ def test_shards_have_equal_bytes(spark):
     assert all(len(s) == 1 for s in whole.values())
 
 
+def test_every_dimension_is_cut(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, f"text {i} " * rng.randrange(1, 9), rng.choice(["en", "de", "fr", "es"]), f"src{rng.randrange(20)}", rng.randrange(1, 20_000))
+                                  for i in range(3000)], DOCS)
+    seen, medians = [], kdtree._medians
+    monkeypatch.setattr(kdtree, "_medians", lambda *a: seen.append(medians(*a)) or seen[-1])
+    got = kdtree.kd_shards(docs, queries.document_coordinates(), queries.document_size(), 24).collect()
+    shards_hold(got, 3000, 24, 0.1)
+    assert {c["axis"] for level in seen for c in level.values()} == {0, 1, 2}
+
+
+def test_numbers_follow_the_files(spark, tmp_path):
+    spark.range(1000).repartition(4).write.parquet(f"{tmp_path}/a")
+    read = spark.read.parquet(f"{tmp_path}/a")
+    for df in (read, read.where("id % 3 = 0"), spark.range(50), read.limit(0), read.unionByName(read)):
+        got = common.numbered(df, "n")
+        assert got.columns == [*df.columns, "n"] and sorted(r["n"] for r in got.collect()) == list(range(df.count()))
+    first, again = (sorted(map(tuple, common.numbered(read, "n").collect())) for _ in range(2))
+    assert first == again
+
+
 def test_shards_of_little(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (1, "", None, None, None), (None, "a", "en", "s", 1)], DOCS)
     for part in (docs, docs.limit(0)):
