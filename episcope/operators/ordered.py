@@ -7,7 +7,10 @@ Results are exact and do not depend on the partitioning.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -39,19 +42,86 @@ def range_count(df: DataFrame) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _sketched(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], out: str) -> DataFrame:
+    """Approximate quantiles of a number per key. Sketches are merged in 256 groups first and then once more, so no task
+    receives a sketch from every input partition."""
+    accuracy = F.lit(2 * len(probs) + 100)
+    first = df.where(F.col(col).isNotNull()).groupBy(*keys, (F.spark_partition_id() % 256).alias("__g")).agg(
+        F.percentile_approx(col, list(probs), accuracy).alias("c"))
+    return first.select(*keys, F.explode("c").alias("c")).groupBy(*keys).agg(F.percentile_approx("c", list(probs), accuracy).alias(out))
+
+
+def _raw_cuts(df: DataFrame, order: str, parts: int | None) -> list[float]:
+    """Cut points with repeats: a value that holds the rows of several ranges comes several times."""
+    parts = parts or range_count(df)
+    probs = [i / parts for i in range(1, parts)]
+    found = _sketched(df.select(_order_number(df, order).alias(_ORDER)), [], _ORDER, probs, "c").first()
+    return sorted(float(c) for c in (found["c"] if found else None) or [] if c == c)
+
+
 def range_cuts(df: DataFrame, order: str, parts: int | None = None) -> list[float]:
-    """Cut points that split the rows into ranges of about equal size. Driver step: at most ``parts`` numbers.
+    """Cut points that split the rows into ranges of about equal size. Driver step: at most ``parts`` numbers. The cuts
+    steer balance only; results are exact for any cuts."""
+    return sorted(set(_raw_cuts(df, order, parts)))
+
 
-    Sketches are merged in 256 groups first and then once more, so no task receives a sketch from every input
-    partition. The cuts steer balance only; results are exact for any cuts.
+def _tie_number(df: DataFrame, col: str) -> Column:
+    """As the order number; strings by their first six bytes, in the order in which Spark sorts strings."""
+    if dict(df.dtypes)[col] == "string":
+        return F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(col), "utf-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+    return _order_number(df, col)
+
+
+def _steps(value: Column, cuts: Column, coarse: Column, stride: int) -> Column:
+    """How many of the sorted cuts are at or below the value: first among every ``stride``-th one, then behind the last of
+    these."""
+    reached = F.size(F.filter(coarse, lambda c: c <= value))
+    start = F.greatest(reached - 1, F.lit(0)) * stride
+    return start + F.size(F.filter(F.slice(cuts, start + 1, F.lit(stride)), lambda c: c <= value))
+
+
+def with_composite_ranges(df: DataFrame, order: str, tie: Sequence[str], parts: int | None = None,
+                          cuts: Sequence[float] | None = None) -> DataFrame:
+    """Add the range number along ``order`` and then ``tie``, a long: a value of ``order`` that holds several ranges' rows is
+    cut along the first tie column, a pair that still does along the next, and so on.
+
+    Such a value is the lowest one of its range, so its rows' sub-ranges come first and the range's other rows after them.
+    Per column the driver gets as many numbers as there are ranges; they return as a broadcast table of that size.
     """
     parts = parts or range_count(df)
-    probs = [i / parts for i in range(1, parts)]
-    numbered = df.select(_order_number(df, order).alias(_ORDER), (F.spark_partition_id() % 256).alias("__g"))
-    first = numbered.where(F.col(_ORDER).isNotNull()).groupBy("__g").agg(
-        F.percentile_approx(_ORDER, probs, F.lit(2 * parts + 100)).alias("c"))
-    cuts = first.select(F.explode("c").alias("c")).agg(F.percentile_approx("c", probs, F.lit(2 * parts + 100))).first()[0]
-    return sorted({float(c) for c in cuts or [] if c == c})
+    raw = _raw_cuts(df, order, parts) if cuts is None else sorted(cuts)
+    ranged = with_ranges(df, order, sorted(set(raw))).withColumn(_BUCKET, F.col(_BUCKET).cast("long"))
+    ranged = ranged.withColumn("__value", _order_number(df, order))
+    heavy = {(v,): n for v, n in Counter(raw).items() if n > 1}
+    values, base = ["__value"], parts + 2
+    for i, column in enumerate(tie):
+        if not heavy or base ** (i + 2) >= 1 << 62:
+            break
+        names = [f"__v{j}" for j in range(len(values))]
+        keys = df.sparkSession.createDataFrame(
+            [(*k, n) for k, n in heavy.items()], ", ".join(f"{x} double" for x in names) + ", __k int")
+        number = _tie_number(df, column)
+        match = reduce(lambda a, b: a & b, [F.col(v) == F.col(x) for v, x in zip(values, names)])
+        rows = ranged.join(F.broadcast(keys), match).select(*names, "__k", number.alias("__t"))  # few keys: two ranges' rows each
+        most = max(heavy.values())
+        found = _sketched(rows, [*names, "__k"], "__t", [j / (most + 1) for j in range(1, most + 1)], "c")
+        # As many cuts as the key has ranges of its own.
+        found = [(tuple(r[x] for x in names), sorted(float(c) for c in r["c"] if c == c)) for r in found.select(
+            *names, F.filter("c", lambda c, j: F.floor((j + 1) * F.col("__k") / most) > F.floor(j * F.col("__k") / most)).alias("c")).collect()]
+        stride = max(1, math.isqrt(most))
+        table = [(*k, sorted(set(c)), sorted(set(c))[::stride]) for k, c in found if c]
+        if not table:
+            break
+        cut_of = F.broadcast(df.sparkSession.createDataFrame(
+            table, ", ".join(f"{x} double" for x in names) + ", __c array<double>, __coarse array<double>"))
+        t = F.col("__t")
+        sub = F.when(t.isNull(), 0).otherwise(F.coalesce(_steps(t, F.col("__c"), F.col("__coarse"), stride) + 1, F.lit(base - 1)))
+        ranged = ranged.withColumn("__t", number).join(cut_of, match, "left").withColumn(
+            _BUCKET, F.col(_BUCKET) * base + F.when(F.col("__c").isNull(), base - 1).otherwise(sub).cast("long"))
+        ranged = ranged.withColumnRenamed("__t", f"__value{i}").drop(*names, "__c", "__coarse")
+        values.append(f"__value{i}")
+        heavy = {(*k, v): n for k, c in found for v, n in Counter(c).items() if n > 1}
+    return ranged.drop(*values)
 
 
 def with_ranges(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
@@ -82,7 +152,10 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, cols: dict[st
     can be taken from a cheaper frame than ``df``.
     """
     keys = list(keys)
-    ranged = with_ranges(df, order, range_cuts(df, order) if cuts is None else cuts)
+    if tie and not descending:
+        ranged = with_composite_ranges(df, order, tie, cuts=cuts)
+    else:
+        ranged = with_ranges(df, order, range_cuts(df, order) if cuts is None else cuts)
     cell = [*keys, _BUCKET]
     totals = ranged.groupBy(cell).agg(*[F.sum(c).alias(f"__t_{o}") for o, c in cols.items()])
     by_range = F.col(_BUCKET).desc() if descending else F.col(_BUCKET)

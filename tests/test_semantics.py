@@ -295,3 +295,35 @@ def test_duplicate_weeks_in_features(spark):
     assert len(overall) == 1 and overall[0]["weekly_rate"] == 3.0
     assert out.where("age_cat = '0-4 yr'").count() == 2
     assert {r["n_weeks_in_season"] for r in out.collect()} == {2}
+
+
+@pytest.mark.parametrize("second", ["n", "name", "day"])
+def test_ties_on_one_date_are_split(spark, second):
+    """Nine tenths of the rows share one date; the largest range stays small and positions stay exact."""
+    df = spark.range(8000).selectExpr(
+        "date_add(date'2024-01-01', if(id % 10 = 0, cast(id % 7 as int), 3)) AS d", "id % 2 AS g", "(id * 7919) % 8000 AS n",
+        "concat('k', lpad(cast((id * 7919) % 8000 as string), 4, '0')) AS name", "date_add(date'2000-01-01', cast((id * 7919) % 8000 as int)) AS day")
+    ranged = ordered.with_composite_ranges(df, "d", [second, "n"], parts=16)
+    sizes = [r["count"] for r in ranged.groupBy("__range").count().collect()]
+    assert sum(sizes) == 8000 and max(sizes) < 8000 / 16 * 2.5 and ranged.columns == [*df.columns, "__range"]
+    # The ranges follow the order: none begins before the one below it ends.
+    ends = ranged.groupBy("__range").agg(F.min(F.struct("d", second)).alias("a"), F.max(F.struct("d", second)).alias("b")).orderBy("__range").collect()
+    assert all(x["b"] < y["a"] for x, y in zip(ends, ends[1:]))
+    got = {(r["g"], r["n"]): r["pos"] for r in ordered.positions(df, ["g"], "d", "pos", [second, "n"]).collect()}
+    rows = sorted(df.collect(), key=lambda r: (r["g"], r["d"], r[second], r["n"]))
+    counts = {0: 0, 1: 0}
+    for r in rows:
+        counts[r["g"]] += 1
+        assert got[r["g"], r["n"]] == counts[r["g"]]
+
+
+def test_ties_of_several_columns(spark):
+    """One date and one name hold most rows; nulls in a tie column come first, as they sort."""
+    df = spark.range(6000).selectExpr("date'2024-01-01' AS d", "if(id % 20 = 0, cast(null as string), if(id % 5 = 0, concat('a', id % 9), 'same')) AS name", "(id * 7919) % 6000 AS n")
+    ranged = ordered.with_composite_ranges(df, "d", ["name", "n"], parts=12)
+    assert max(r["count"] for r in ranged.groupBy("__range").count().collect()) < 6000 / 12 * 3
+    got = {r["n"]: r["pos"] for r in ordered.positions(df, [], "d", "pos", ["name", "n"]).collect()}
+    rows = sorted(df.collect(), key=lambda r: (r["name"] is not None, r["name"] or "", r["n"]))
+    assert [got[r["n"]] for r in rows] == list(range(1, 6001))
+    empty = ordered.positions(df.limit(0), [], "d", "pos", ["name", "n"])
+    assert empty.count() == 0
