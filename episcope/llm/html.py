@@ -29,8 +29,10 @@ IMPLIED = {
 SCOPE = {"table", "td", "th", "caption", "button", "template"}
 IN_HEAD = {"base", "link", "meta", "title", "style", "script", "template", "noscript", "head", "html"}
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
-                 r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?""", re.S)
+# Names and what follows them are never given back, so a tag is read once; only text with a later ``>`` is searched for tags.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+                 r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?""", re.S)
+UNENDED = re.compile(r"<[!?/]")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
@@ -64,9 +66,11 @@ def parse(source: str) -> Node:
             cut(min(inside))
 
     at, end = 0, len(source)
+    tags_end = source.rfind(">") + 1  # no tag begins from here on; comments and declarations do, and take the rest
     while at < end:
-        m = TAG.search(source, at)
-        text = source[at:m.start() if m else end]
+        m = TAG.search(source, at, tags_end) if at < tags_end else None
+        rest_at = None if m else UNENDED.search(source, max(at, tags_end))
+        text = source[at:m.start() if m else rest_at.start() if rest_at else end]
         if text:
             if open_[-1].tag == "head" and text.strip():
                 cut(len(open_) - 1)
@@ -74,6 +78,8 @@ def parse(source: str) -> Node:
         if not m:
             break
         at = m.end()
+        if m[0].startswith("<!--") and (len(m[0]) < 7 or not m[0].endswith("-->")):
+            break  # a comment without an end takes the rest
         closing, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not name:
             continue
@@ -97,7 +103,7 @@ def parse(source: str) -> Node:
         if name in VOID:
             continue
         if name in RAW:
-            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I).search(source, at, max(at, tags_end))
             body = source[at:stop.start() if stop else end]
             node.children.append(html.unescape(body) if name in ("title", "textarea") else body)
             at = stop.end() if stop else end

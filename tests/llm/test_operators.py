@@ -55,6 +55,22 @@ def test_html_below_any_depth(before, after, source, text):
     assert html.extract(before + source + after).strip("\n") == text
 
 
+@pytest.mark.parametrize("piece", ["x<b", "<a ", "<!--", "<script", "</script ", "<a", "<a href='", "</", "<!", "<b><!--", "<i>x<b"])
+@pytest.mark.parametrize("before", ["", "<p>a</p>", "<script>x>"])
+def test_html_without_tag_ends_takes_linear_time(piece, before):
+    began = time.perf_counter()
+    html.extract(before + piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 6
+
+
+@pytest.mark.parametrize("source, text", [
+    ("a<b", "a<b"), ("a<p>b<i c", "a\n\nb<i c"), ("a<!-- b <i>c</i> d", "a"), ("a<!-- b --> d <!-->e", "a d"), ("a</p", "a"), ("a<script>b</script c", "a"),
+    ("a<b title='>'>c</b>d", "acd"), ("a <x<b>c", "a c"),
+])
+def test_html_of_unended_tags(source, text):
+    assert html.extract(source).strip("\n") == text
+
+
 def test_html_hidden_ancestor_of_deep_elements():
     assert html.extract("<div hidden>" + "<div>" * 400 + "no" + "</div>" * 400 + "no</div>yes") == "yes"
 
