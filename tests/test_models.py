@@ -234,6 +234,60 @@ def test_median_difference_interval(spark, rng):
     assert row["median_diff"] == pytest.approx(2.0, abs=0.6)
 
 
+@pytest.mark.parametrize("kind", ["normal", "ties", "outlier", "one value", "no ties"])
+def test_quantiles_of_all_differences(spark, rng, kind):
+    n, m = (900, 700) if kind == "normal" else (60, 45)
+    a, b = rng.normal(5, 1, n), rng.normal(3, 2, m)
+    if kind == "ties":
+        a, b = np.round(a), np.round(b)
+    if kind == "outlier":
+        a[0], b[0] = 1e12, -1e9
+    if kind == "one value":
+        b[:] = 2.5
+    every = np.sort((a[:, None] - b[None, :]).ravel())
+    half = len(every) // 2
+    sides = [resample._value_counts(frame(spark, v=x), "v") for x in (a, b)]
+    groups = [[1], [half, half + 1, half + 40], [1, len(every)], [half + 20, half + 60], [len(every)]]
+    got = resample.difference_quantiles(*sides, groups)
+    assert got == {r: every[r - 1] for g in groups for r in g}
+
+
+def test_difference_quantiles_narrow_their_bands(spark, rng, monkeypatch):
+    """With little room the bands are narrowed in rounds, and the pairs that are listed stay few."""
+    a, b = rng.normal(5, 1, 4000), np.r_[rng.normal(3, 2, 3000), np.full(2000, 3.25)]
+    every = np.sort((a[:, None] - b[None, :]).ravel())
+    rounds = []
+    counted = resample._pairs_below
+    monkeypatch.setattr(resample, "_pairs_below", lambda *args: rounds.append(len(args[2])) or counted(*args))
+    ranks = [len(every) // 40, len(every) // 40 + 5000]
+    got = resample.difference_quantiles(*[resample._value_counts(frame(spark, v=x), "v") for x in (a, b)], [ranks])
+    assert got == {r: every[r - 1] for r in ranks} and 1 <= len(rounds) <= 6
+
+
+@pytest.mark.parametrize("n, m", [(31, 40), (30, 44), (1, 5), (2, 2)])
+def test_median_difference_agrees_with_plain_draws(spark, rng, n, m):
+    """The limits agree with replicates that are written out, odd and even sizes, within the draws' own spread."""
+    a, b = rng.normal(5, 1, n), rng.normal(3, 1, m)
+    df = frame(spark, g=["a"] * n + ["b"] * m, v=np.r_[a, b])
+    row = resample.bootstrap_median_diff(df, "g", "a", "b", "v", 8000, seed=3).first()
+    size = min(n, m)
+    medians = np.median(rng.choice(a, (40000, size)) - rng.choice(b, (40000, size)), axis=1)
+    for name, p in (("median_diff", 0.5), ("ci_low", 0.025), ("ci_high", 0.975)):
+        low, high = np.quantile(medians, [max(0, p - 0.012), min(1, p + 0.012)])
+        assert low - 1e-9 <= row[name] <= high + 1e-9
+
+
+def test_replicate_percentile_reads_only_deciding_ranks(spark, rng):
+    """Looking up a few ranks gives the percentile over all replicates."""
+    a, b = rng.integers(0, 9, 40).astype(float), rng.integers(0, 7, 30) / 2
+    every = np.sort((a[:, None] - b[None, :]).ravel())
+    sides = [resample._value_counts(frame(spark, v=x), "v") for x in (a, b)]
+    middle = resample._middle_ranks(30, len(every), 400, np.random.default_rng(5))
+    means = [(every[x - 1] + every[y - 1]) / 2 for x, y in middle]
+    probs = (0.025, 0.5, 0.975)
+    assert resample._replicate_percentiles(sides, middle, probs) == pytest.approx(list(np.quantile(means, probs)), abs=1e-12)
+
+
 def _weekly(spark, rng, n=260, bump=0.0):
     t = np.arange(n)
     day = pd.to_datetime("2010-01-03") + pd.to_timedelta(7 * t, unit="D")
