@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from episcope.functions import dist
 from episcope.functions.expr import ladder
+from episcope.operators.joins import enrich
 from episcope.operators.ordered import range_cuts, running_totals
 from episcope.operators.tabulate import drop_null_keys
+from episcope.session import durable
 
 
 def stack_columns(df: DataFrame, keep: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -134,6 +136,63 @@ def chi2_test(df: DataFrame, a: str, b: str) -> DataFrame:
         "cramers_v"), dist.chi2_p_value(F.col("chi2"), F.col("dof").cast("double")).alias("p_value"))
 
 
+def contingency_cells(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
+    """Rows per feature, category and target class, for all features from one pass over the table. Missing categories and
+    classes have their own cells. Every report on categorical features reads this table."""
+    long = df.select(F.col(target).alias("__class"), *[F.col(c).cast("string").alias(c) for c in features]).unpivot(
+        ["__class"], list(features), "feature", "category")
+    return durable(long.groupBy("feature", "category", F.col("__class").alias("class")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def association(cells: DataFrame) -> DataFrame:
+    """Chi-square test, Cramer's V and its size per feature, with categories and missing values, from
+    :func:`contingency_cells`.
+
+    Missing categories and classes stay out of the test. 2 x 2 tables get the continuity correction; a feature with one
+    category (or one class) has chi-square 0 and neither V nor size. Margins are aggregates joined back, so a feature
+    with very many categories is spread over tasks.
+    """
+    sizes = cells.groupBy("feature").agg(
+        F.countDistinct("category").alias("n_categories"),
+        F.coalesce(F.sum(F.when(F.col("category").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
+        F.sum("n").alias("n_rows"))
+    full = cells.dropna(subset=["category", "class"]).withColumn("n", F.col("n").cast("double"))
+    rows = full.groupBy("feature", "category").agg(F.sum("n").alias("row_total"))
+    cols = full.groupBy("feature", "class").agg(F.sum("n").alias("col_total"))
+    total = cols.groupBy("feature").agg(F.sum("col_total").alias("total"), F.count(F.lit(1)).alias("cols"),
+                                        F.sum(1 / F.col("col_total")).alias("inv_cols"))
+    wide = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), F.sum(1 / F.col("row_total")).alias("inv_rows"))
+    margins = total.join(wide, "feature")
+    expected = F.col("row_total") * F.col("col_total") / F.col("total")
+    marked = enrich(enrich(full.join(rows, ["feature", "category"]), cols, ["feature", "class"]), total.select("feature", "total"), "feature")
+    sums = marked.groupBy("feature").agg(F.sum(F.col("n") * F.col("n") / expected).alias("ratio"),
+                                         F.max(F.abs(F.col("n") - expected)).alias("gap"))
+    reduced = F.col("gap") - F.least(F.lit(0.5), F.col("gap"))
+    yates = reduced ** 2 * F.col("total") * F.col("inv_rows") * F.col("inv_cols")
+    smaller = F.least("rows", "cols") - 1
+    chi2 = (F.when(smaller == 0, 0.0).when((F.col("rows") == 2) & (F.col("cols") == 2), yates)
+            .otherwise(F.greatest(F.col("ratio") - F.col("total"), F.lit(0.0))))
+    out = sizes.join(margins.join(sums, "feature"), "feature", "left").select(
+        "feature", "n_categories", "missing_count", (F.col("missing_count") * 100.0 / F.col("n_rows")).alias("missing_pct"),
+        chi2.alias("chi2"), ((F.col("rows") - 1) * (F.col("cols") - 1)).alias("dof"),
+        F.sqrt(F.try_divide(chi2, F.col("total") * smaller)).alias("cramers_v"))
+    p = F.when(F.col("dof") == 0, 1.0).otherwise(dist.chi2_p_value(F.col("chi2"), F.greatest(F.col("dof"), F.lit(1)).cast("double")))
+    out = out.withColumn("p_value", F.when(F.col("dof").isNotNull(), p))
+    return out.withColumns({
+        "significant": F.when(F.col("p_value") < 0.05, "Yes").when(F.col("p_value").isNotNull(), "No"),
+        "effect_size": F.when(F.col("cramers_v").isNotNull(), ladder(
+            F.col("cramers_v"), [(0.3, "Large"), (0.1, "Medium")], "Small", inclusive=True))})
+
+
+def category_shares(cells: DataFrame, positive=1) -> DataFrame:
+    """Percent of negative and positive rows per feature and category, from :func:`contingency_cells`."""
+    full = cells.dropna(subset=["category", "class"])
+    hit = F.sum(F.when(F.col("class") == F.lit(positive), F.col("n")).otherwise(0))
+    out = full.groupBy("feature", "category").agg(F.sum("n").alias("n"), hit.alias("__hit"))
+    return out.select("feature", "category", "n", ((F.col("n") - F.col("__hit")) * 100.0 / F.col("n")).alias("neg_pct"),
+                      (F.col("__hit") * 100.0 / F.col("n")).alias("pos_pct"))
+
+
 def _side_quartiles(ranks: DataFrame, sizes: DataFrame) -> DataFrame:
     """Exact quartiles of both sides per variable, read off the running counts of a rank table."""
     joined = ranks.join(F.broadcast(sizes), "variable")  # one row per variable

@@ -71,6 +71,29 @@ def text_scan(spark, sf):
     return surveillance.clean_extract(back).select(*EXTRACT_COLUMNS)
 
 
+@query("repeated_headers", """SELECT c_custkey, c_name, c_name AS "c_name.1", c_acctbal, c_name AS "c_name.2" FROM customer""")
+def repeated_headers(spark, sf):
+    df = table(spark, sf, "customer").select("c_custkey", "c_name", "c_name", "c_acctbal", "c_name")
+    return src.dedupe_headers(df)
+
+
+@query("required_columns", "SELECT c_custkey, c_mktsegment FROM customer")
+def required_columns(spark, sf):
+    """The wanted columns are checked, the others dropped whether or not they are there."""
+    df = table(spark, sf, "customer")
+    src.require_columns(df, ["c_custkey", "c_mktsegment"])
+    return clean.drop_if_present(df, [*[c for c in df.columns if c not in ("c_custkey", "c_mktsegment")], "c_unknown"])
+
+
+@query("side_by_side", """SELECT * FROM (SELECT o_orderpriority, count(*) AS n_orders FROM orders GROUP BY 1)
+JOIN (SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean_price FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) USING (o_orderpriority)""")
+def side_by_side(spark, sf):
+    o = table(spark, sf, "orders")
+    left = o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"))
+    right = o.where("o_orderstatus = 'F'").groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
+    return joins.side_by_side(left, right, "o_orderpriority")
+
+
 @query("csv_round_trip", """SELECT c_custkey, c_name, c_acctbal, CAST(DATE '2020-01-01' + CAST(c_custkey % 365 AS INTEGER) AS DATE)
   AS seen FROM customer WHERE c_custkey % 10 <> 3""")
 def csv_round_trip(spark, sf):

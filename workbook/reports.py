@@ -28,6 +28,17 @@ def incidence_report(spark, sf):
     return incidence.incidence_report(events(spark, sf), "ts", "event_type", positive(), POPULATION)
 
 
+@query("incidence_window", f"""WITH {DAILY.replace('FROM events', "FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND event_type IN ('view', 'click')")},
+rates AS (SELECT *, round(r7 * 4e-1, 1) AS i7, round(r28 * 4e-1, 1) AS i28 FROM rolled)
+SELECT pathogen, i7 AS incidence_7d, i28 AS incidence_28d, round(i7 - i28, 1) AS change,
+  CASE WHEN i7 > 25 THEN 'High' WHEN i7 > 10 THEN 'Medium' ELSE 'Low' END AS concern
+FROM rates WHERE test_date = (SELECT max(test_date) FROM rates)""")
+def incidence_window(spark, sf):
+    """The report between two dates, both included, for chosen kinds."""
+    return incidence.incidence_report(events(spark, sf), "ts", "event_type", positive(), POPULATION,
+                                      "2024-01-05", "2024-01-20", ["view", "click"])
+
+
 @query("rolling_incidence", f"""WITH {DAILY}
 SELECT pathogen, test_date, n AS count, r7 AS rolling_7d, r28 AS rolling_28d,
   round(r7 * 4e-1, 1) AS per_100k_7d, round(r28 * 4e-1, 1) AS per_100k_28d FROM rolled""")

@@ -109,6 +109,45 @@ def feature_report(spark, sf):
                       F.round("cohens_d", 6).alias("cohens_d"))
 
 
+CATEGORIES = {"l_linestatus": "l_linestatus", "l_linenumber": "CASE WHEN l_linenumber <> 3 THEN l_linenumber END",
+              "large": "l_quantity > 25", "same": "'x'"}
+CELLS = "WITH cells AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS feature, CAST({sql} AS VARCHAR) AS category, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, "
+    "count(*) AS n FROM lineitem GROUP BY 2, 3" for name, sql in CATEGORIES.items()) + "),\nok AS (SELECT * FROM cells WHERE category IS NOT NULL)"
+
+
+def _category_cells(spark, sf):
+    li = table(spark, sf, "lineitem")
+    df = li.select(flag(F.col("l_returnflag") == "R").alias("y"), *[F.expr(sql).alias(c) for c, sql in CATEGORIES.items()])
+    return hypothesis.contingency_cells(df, "y", list(CATEGORIES))
+
+
+@query("categorical_report", CELLS + """,
+r AS (SELECT feature, category, sum(n) AS rt FROM ok GROUP BY 1, 2), c AS (SELECT feature, y, sum(n) AS ct FROM ok GROUP BY 1, 2),
+k AS (SELECT feature, count(*) AS kr, CAST(sum(rt) AS DOUBLE) AS total FROM r GROUP BY 1), q AS (SELECT feature, count(*) AS kc FROM c GROUP BY 1),
+f AS (SELECT feature, coalesce(n, 0) AS o, rt * ct / total AS e, kr, kc, total FROM r JOIN c USING (feature) JOIN k USING (feature)
+  JOIN q USING (feature) LEFT JOIN ok USING (feature, category, y)),
+s AS (SELECT feature, sum(CASE WHEN kr = 2 AND kc = 2 THEN power(abs(o - e) - least(0.5, abs(o - e)), 2) / e
+    WHEN kr = 1 OR kc = 1 THEN 0 ELSE (o - e) * (o - e) / e END) AS chi2,
+  (any_value(kr) - 1) * (any_value(kc) - 1) AS dof, least(any_value(kr), any_value(kc)) - 1 AS smaller, any_value(total) AS total FROM f GROUP BY 1),
+m AS (SELECT feature, count(DISTINCT category) AS n_categories, CAST(coalesce(sum(n) FILTER (WHERE category IS NULL), 0) AS BIGINT) AS missing_count,
+  sum(n) AS n FROM cells GROUP BY 1),
+v AS (SELECT *, CASE WHEN smaller > 0 THEN sqrt(chi2 / (total * smaller)) END AS v FROM m JOIN s USING (feature))
+SELECT feature, n_categories, missing_count, round(missing_count * 100e0 / n, 6) AS missing_pct, round(chi2, 5) AS chi2, dof,
+  round(v, 7) AS cramers_v, CASE WHEN v < 0.1 THEN 'Small' WHEN v < 0.3 THEN 'Medium' WHEN v >= 0.3 THEN 'Large' END AS effect_size FROM v""")
+def categorical_report(spark, sf):
+    out = hypothesis.association(_category_cells(spark, sf))
+    return out.select("feature", "n_categories", "missing_count", F.round("missing_pct", 6).alias("missing_pct"),
+                      F.round("chi2", 5).alias("chi2"), "dof", F.round("cramers_v", 7).alias("cramers_v"), "effect_size")
+
+
+@query("category_shares", CELLS + """
+SELECT feature, category, CAST(sum(n) AS BIGINT) AS n, round(sum(n) FILTER (WHERE y = 0) * 100e0 / sum(n), 6) AS neg_pct,
+  round(coalesce(sum(n) FILTER (WHERE y = 1), 0) * 100e0 / sum(n), 6) AS pos_pct FROM ok GROUP BY 1, 2""")
+def category_shares(spark, sf):
+    return rounded(hypothesis.category_shares(_category_cells(spark, sf)), 6)
+
+
 CONFUSION = f"""WITH {SCORED},
 k AS (
   SELECT l_linestatus, CAST(count(*) FILTER (WHERE label = 1 AND pred = 1) AS DOUBLE) AS tp,
