@@ -149,7 +149,7 @@ def association(cells: DataFrame) -> DataFrame:
     :func:`contingency_cells`.
 
     Missing categories and classes stay out of the test. 2 x 2 tables get the continuity correction; a feature with one
-    category (or one class) has chi-square 0 and neither V nor size. Margins are aggregates joined back, so a feature
+    category (or one class) has chi-square 0 and neither V nor size, one without any category has no test at all. Margins are aggregates joined back, so a feature
     with very many categories is spread over tasks.
     """
     sizes = cells.groupBy("feature").agg(
@@ -171,7 +171,7 @@ def association(cells: DataFrame) -> DataFrame:
     yates = reduced ** 2 * F.col("total") * F.col("inv_rows") * F.col("inv_cols")
     smaller = F.least("rows", "cols") - 1
     chi2 = (F.when(smaller == 0, 0.0).when((F.col("rows") == 2) & (F.col("cols") == 2), yates)
-            .otherwise(F.greatest(F.col("ratio") - F.col("total"), F.lit(0.0))))
+            .when(F.col("ratio").isNotNull(), F.greatest(F.col("ratio") - F.col("total"), F.lit(0.0))))
     out = sizes.join(margins.join(sums, "feature"), "feature", "left").select(
         "feature", "n_categories", "missing_count", (F.col("missing_count") * 100.0 / F.col("n_rows")).alias("missing_pct"),
         chi2.alias("chi2"), ((F.col("rows") - 1) * (F.col("cols") - 1)).alias("dof"),

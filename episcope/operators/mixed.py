@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -148,6 +149,133 @@ def contrasts(spark, fit: MixedFit, group: str, levels: Sequence[str], slope: st
     return spark.createDataFrame(rows, TERM_SCHEMA)
 
 
+@dataclass
+class Design:
+    """Fixed effects of a model formula: terms name covariates and factors, factor levels come with the base level first.
+
+    ``Design(["x"], {"arm": ["a", "b"]}, [("x",), ("arm",), ("x", "arm")])`` is x * arm. Every margin of a term must be a
+    term itself. Factors are treatment coded; columns are named ``arm_b`` and ``x:arm_b``.
+    """
+
+    covariates: Sequence[str]
+    factors: Mapping[str, Sequence]
+    terms: Sequence[tuple[str, ...]]
+
+    def __post_init__(self):
+        known = {frozenset(t) for t in self.terms}
+        for t in self.terms:
+            if unknown := set(t) - set(self.covariates) - set(self.factors):
+                raise ValueError(f"neither covariate nor factor: {sorted(unknown)}")
+            if missing := [m for m in t if len(t) > 1 and frozenset(t) - {m} not in known]:
+                raise ValueError(f"term {':'.join(t)} needs its margins without {missing}")
+
+    def covariate_part(self, term: Sequence[str]) -> tuple[str, ...]:
+        return tuple(c for c in self.covariates if c in term)
+
+    def column(self, covariates: Sequence[str], level: Mapping) -> str:
+        return ":".join([*covariates, *[f"{f}_{level[f]}" for f in self.factors if f in level]]) or "intercept"
+
+    def columns(self) -> dict[str, tuple[tuple[str, ...], dict]]:
+        """Column names with their covariates and their level per factor."""
+        out = {}
+        for term in self.terms:
+            own = [f for f in self.factors if f in term]
+            for combo in itertools.product(*[self.factors[f][1:] for f in own]):
+                level = dict(zip(own, combo))
+                out[self.column(self.covariate_part(term), level)] = (self.covariate_part(term), level)
+        return out
+
+    def coded(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """The frame with the design's columns, and their names. Rows with a null covariate or factor get null."""
+        columns = self.columns()
+        made = {}
+        for name, (covariates, level) in columns.items():
+            value = F.lit(1.0)
+            for c in covariates:
+                value = value * F.col(c).cast("double")
+            for f, lv in level.items():
+                value = value * F.when(F.col(f) == F.lit(lv), 1.0).when(F.col(f).isNotNull(), 0.0)
+            made[name] = value
+        return df.withColumns(made), list(columns)
+
+    def row(self, names: Sequence[str], covariates: Sequence[str], weights: Mapping[str, Sequence[float]]) -> np.ndarray:
+        """The linear function of the coefficients of one covariate set that gives factor ``f``'s levels (base first, then the
+        treatment columns) the weights ``weights[f]``."""
+        out = np.zeros(len(names))
+        for combo in itertools.product(*[range(len(self.factors[f])) for f in weights]):
+            level = {f: self.factors[f][i] for f, i in zip(weights, combo) if i}
+            name = self.column(covariates, level)
+            if name in names:
+                out[names.index(name)] = math.prod(weights[f][i] for f, i in zip(weights, combo))
+        return out
+
+    def type3_matrix(self, names: Sequence[str], term: Sequence[str]) -> np.ndarray:
+        """The estimable functions of a term: its factors by their deviations from the average level, all other factors
+        averaged over their levels with equal weight. Covariates are held at 0 unless the term holds them."""
+        options = []
+        for f, levels in self.factors.items():
+            k = len(levels)
+            # The mean of a level i is base + its column; the average over levels puts 1/k on each column.
+            average = [1.0, *[1.0 / k] * (k - 1)]
+            deviations = [[0.0, *[float(i == j) - 1.0 / k for j in range(1, k)]] for i in range(1, k)]
+            options.append(deviations if f in term else [average])
+        return np.array([self.row(names, self.covariate_part(term), dict(zip(self.factors, picked)))
+                         for picked in itertools.product(*options)])
+
+    def mean_vector(self, names: Sequence[str], at: Mapping[str, float], fixed: Mapping) -> np.ndarray:
+        """The function that gives the mean at covariate values ``at`` and factor levels ``fixed``, averaged over the levels of
+        all other factors."""
+        weights = {}
+        for f, levels in self.factors.items():
+            k = len(levels)
+            weights[f] = [1.0, *[float(lv == fixed[f]) if f in fixed else 1.0 / k for lv in levels[1:]]]
+        sets = {()} | {self.covariate_part(t) for t in self.terms}
+        return sum(math.prod(at[c] for c in cov) * self.row(names, cov, weights) for cov in sets)
+
+
+def type3_tests(spark, fit: MixedFit, design: Design) -> DataFrame:
+    """Joint Wald tests of the estimable functions of every term, which do not depend on the base levels chosen; ``f_value``
+    is the chi-square over its degrees of freedom."""
+    rows = []
+    for term in design.terms:
+        m = design.type3_matrix(fit.names, term)
+        b, v = m @ fit.beta, m @ fit.cov @ m.T
+        stat = float(b @ np.linalg.solve(v, b))
+        rows.append((":".join(term), stat, len(m), stat / len(m), dist.chi2_sf(stat, len(m))))
+    return spark.createDataFrame(rows, "term string, chi2 double, dof long, f_value double, p_value double")
+
+
+def covariate_means(df: DataFrame, design: Design, y: str) -> dict[str, float]:
+    """Means of the covariates over the rows of the fit, in one aggregate."""
+    if not design.covariates:
+        return {}
+    used = df.dropna(subset=[y, *design.covariates, *design.factors])
+    row = used.agg(*[F.avg(F.col(c).cast("double")) for c in design.covariates]).first()
+    return dict(zip(design.covariates, row))
+
+
+def marginal_means(spark, fit: MixedFit, design: Design, factor: str, at: Mapping[str, float]) -> DataFrame:
+    """Estimated means per level of a factor with 95% limits, at covariate values ``at`` (their means, as a rule)."""
+    rows = []
+    for lv in design.factors[factor]:
+        v = design.mean_vector(fit.names, at, {factor: lv})
+        rows.append(_term_row(str(lv), float(v @ fit.beta), math.sqrt(max(float(v @ fit.cov @ v), 0.0))))
+    return spark.createDataFrame(rows, TERM_SCHEMA)
+
+
+def marginal_contrasts(spark, fit: MixedFit, design: Design, factor: str, at: Mapping[str, float]) -> DataFrame:
+    """All pairwise differences of the estimated means, p-values and limits Bonferroni-adjusted."""
+    vectors = {lv: design.mean_vector(fit.names, at, {factor: lv}) for lv in design.factors[factor]}
+    pairs = list(itertools.combinations(vectors, 2))
+    z_crit = dist.normal_quantile(1 - 0.025 / len(pairs))
+    rows = []
+    for a, b in pairs:
+        c = vectors[a] - vectors[b]
+        row = _term_row(f"{a} - {b}", float(c @ fit.beta), math.sqrt(max(float(c @ fit.cov @ c), 0.0)), z_crit)
+        rows.append((*row[:-1], min(1.0, row[-1] * len(pairs))))
+    return spark.createDataFrame(rows, TERM_SCHEMA)
+
+
 def glmm_binomial_fit(df: DataFrame, y: str, xs: Sequence[str], groups: Sequence[str], max_iter: int = 25,
                       tol: float = 1e-6, max_levels: int = 4000, max_cells: int = 200_000) -> MixedFit:
     """Logistic model with random intercepts for one or more crossed groupings, by penalised quasi-likelihood.

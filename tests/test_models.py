@@ -138,6 +138,80 @@ def test_contrasts_and_anova(spark, rng):
     assert test["arm"]["p_value"] < 1e-10 and test["arm"]["dof"] == 2
 
 
+def _least_squares(x, y, names):
+    beta, rss = np.linalg.lstsq(x, y, rcond=None)[0], None
+    rss = float(((y - x @ beta) ** 2).sum())
+    s2 = rss / (len(y) - x.shape[1])
+    return mixed.MixedFit(names, beta, s2 * np.linalg.inv(x.T @ x), {}, s2, len(y), {}), rss
+
+
+def _unbalanced(rng, n=240):
+    arm = rng.choice(["a", "b", "c"], n, p=[0.6, 0.3, 0.1])
+    site = np.where(rng.random(n) < np.where(arm == "a", 0.8, 0.3), "s", "t")
+    x = rng.normal(2, 1, n) + (arm == "b")
+    y = x + 1.5 * (arm == "b") - (site == "t") + 0.8 * (arm == "c") * (site == "t") + rng.normal(size=n)
+    return arm, site, x, y
+
+
+@pytest.mark.parametrize("base", ["abc", "cab"])
+def test_type3_tests_are_sums_of_squares_of_nested_fits(spark, rng, base):
+    """Unbalanced two-way table with a covariate: each test is the loss from leaving out the term's columns in a coding
+    whose columns add up to zero over levels, whichever base levels the treatment coding has."""
+    arm, site, x, y = _unbalanced(rng)
+    design = mixed.Design(["x"], {"arm": list(base), "site": ["t", "s"]},
+                          [("x",), ("arm",), ("site",), ("arm", "site"), ("x", "arm")])
+    coded, names = design.coded(frame(spark, arm=arm, site=site, x=x, y=y, i=np.arange(len(y))))
+    made = coded.orderBy("i").toPandas()
+    fit, rss = _least_squares(np.column_stack([np.ones(len(y)), made[names].to_numpy()]), y, ["intercept", *names])
+    a = np.column_stack([1.0 * (arm == lv) - (arm == "c") for lv in "ab"])
+    s = (1.0 * (site == "s") - (site == "t"))[:, None]
+    blocks = {"x": x[:, None], "arm": a, "site": s, "arm:site": a * s, "x:arm": x[:, None] * a}
+    for row in mixed.type3_tests(spark, fit, design).collect():
+        rest = np.column_stack([np.ones((len(y), 1)), *[b for k, b in blocks.items() if k != row["term"]]])
+        _, less = _least_squares(rest, y, None)
+        assert row["dof"] == blocks[row["term"]].shape[1]
+        assert row["chi2"] == pytest.approx((less - rss) / fit.residual_var, rel=1e-8)
+
+
+def test_marginal_means_average_predictions(spark, rng):
+    arm, site, x, y = _unbalanced(rng)
+    design = mixed.Design(["x"], {"arm": ["a", "b", "c"], "site": ["s", "t"]}, [("x",), ("arm",), ("site",), ("arm", "site"), ("x", "arm")])
+    df = frame(spark, arm=arm, site=site, x=x, y=y, i=np.arange(len(y)))
+    made = design.coded(df)[0].orderBy("i").toPandas()
+    names = list(design.columns())
+    fit, _ = _least_squares(np.column_stack([np.ones(len(y)), made[names].to_numpy()]), y, ["intercept", *names])
+    at = mixed.covariate_means(df, design, "y")
+    assert at["x"] == pytest.approx(x.mean())
+    grid = frame(spark, arm=np.repeat(["a", "b", "c"], 2), site=np.tile(["s", "t"], 3), x=np.full(6, x.mean()), i=np.arange(6))
+    points = np.column_stack([np.ones(6), design.coded(grid)[0].orderBy("i").toPandas()[names].to_numpy()]) @ fit.beta
+    means = {r["term"]: r for r in mixed.marginal_means(spark, fit, design, "arm", at).collect()}
+    for i, lv in enumerate("abc"):
+        assert means[lv]["estimate"] == pytest.approx(points[2 * i:2 * i + 2].mean())
+    pairs = {r["term"]: r for r in mixed.marginal_contrasts(spark, fit, design, "arm", at).collect()}
+    assert pairs["a - c"]["estimate"] == pytest.approx(means["a"]["estimate"] - means["c"]["estimate"])
+
+
+def test_design_needs_margins(spark):
+    with pytest.raises(ValueError, match="margins"):
+        mixed.Design(["x"], {"arm": ["a", "b"]}, [("x",), ("x", "arm")])
+    with pytest.raises(ValueError, match="neither"):
+        mixed.Design([], {"arm": ["a", "b"]}, [("sex",)])
+
+
+def test_association_of_edge_cases(spark):
+    """One category, no category at all, missing classes, and a clean split."""
+    df = spark.createDataFrame([("u", "p", None, 1), ("u", "p", None, 1), ("u", "q", None, 0), ("u", "q", None, 0),
+                                ("u", None, None, 0), ("u", "q", None, None)], "one string, two string, none string, y int")
+    cells = hypothesis.contingency_cells(df, "y", ["one", "two", "none"])
+    got = {r["feature"]: r for r in hypothesis.association(cells).collect()}
+    assert (got["one"]["chi2"], got["one"]["dof"], got["one"]["p_value"], got["one"]["cramers_v"], got["one"]["effect_size"]) == (0.0, 0, 1.0, None, None)
+    assert (got["none"]["n_categories"], got["none"]["missing_count"], got["none"]["chi2"], got["none"]["significant"]) == (0, 6, None, None)
+    assert got["two"]["chi2"] == pytest.approx(1.0) and got["two"]["missing_pct"] == pytest.approx(100 / 6)
+    assert got["two"]["p_value"] == pytest.approx(math.erfc(math.sqrt(0.5))) and got["two"]["effect_size"] == "Large"
+    shares = {(r["feature"], r["category"]): (r["n"], r["neg_pct"], r["pos_pct"]) for r in hypothesis.category_shares(cells).collect()}
+    assert shares[("two", "p")] == (2, 0.0, 100.0) and shares[("one", "u")] == (5, 60.0, 40.0) and ("none", None) not in shares
+
+
 def test_binomial_mixed_model_recovers_truth(spark, rng):
     n = 4000
     site, period, x = rng.integers(0, 12, n), rng.integers(0, 4, n), rng.integers(0, 2, n)

@@ -185,6 +185,35 @@ def _interaction_fit(spark, sf):
     return mixed.lmm_fit(coded, "l_extendedprice", names, "l_suppkey"), levels
 
 
+DESIGN = mixed.Design(["quantity"], {"l_returnflag": ["A", "N", "R"], "large": [0, 1]}, [
+    ("quantity",), ("l_returnflag",), ("large",), ("quantity", "l_returnflag"), ("l_returnflag", "large")])
+
+
+def _design_fit(spark, sf):
+    li = table(spark, sf, "lineitem").select(
+        "l_extendedprice", "l_suppkey", "l_returnflag", (F.col("l_quantity") / 10).alias("quantity"),
+        flag(F.col("l_discount") > 0.045).alias("large"))
+    coded, names = DESIGN.coded(li)
+    return li, mixed.lmm_fit(coded, "l_extendedprice", names, "l_suppkey")
+
+
+@query("type3_tests")
+def type3_tests(spark, sf):
+    return mixed.type3_tests(spark, _design_fit(spark, sf)[1], DESIGN)
+
+
+@query("marginal_means")
+def marginal_means(spark, sf):
+    li, fit = _design_fit(spark, sf)
+    return mixed.marginal_means(spark, fit, DESIGN, "l_returnflag", mixed.covariate_means(li, DESIGN, "l_extendedprice"))
+
+
+@query("marginal_contrasts")
+def marginal_contrasts(spark, sf):
+    li, fit = _design_fit(spark, sf)
+    return mixed.marginal_contrasts(spark, fit, DESIGN, "l_returnflag", mixed.covariate_means(li, DESIGN, "l_extendedprice"))
+
+
 @query("glmm_binomial")
 def glmm_binomial(spark, sf):
     li = table(spark, sf, "lineitem").select(
