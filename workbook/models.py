@@ -10,7 +10,7 @@ from episcope.functions.expr import flag
 from episcope.operators import fixed_effects, forecast, geo, mixed, regression, resample, windows
 from episcope.operators.filters import stratum
 from episcope.operators.joins import method_agreement
-from episcope.plans import surveillance
+from episcope.plans import layouts, surveillance
 from workbook.panels import REGIONAL, REGIONS, regional, rounded
 from workbook.registry import query, table
 from workbook.tables import PANEL, PANEL_DIMS, REGISTRY, SUPPRESSED, panel, registry
@@ -245,6 +245,15 @@ def rate_ratio_table(spark, sf):
                                      [r for r in REGIONS if r != "EUROPE"] + ["OCEANIA"])
 
 
+@query("rate_ratio_layout")
+def rate_ratio_layout(spark, sf):
+    """The rate ratios as they are printed: a section per phase, the reference group first."""
+    others = [r for r in REGIONS if r != "EUROPE"] + ["OCEANIA"]
+    return layouts.printed(rate_ratio_table(spark, sf), layouts.Layout(
+        "phase", "race_group", {"early": "EARLY", "late": "LATE"}, {"EUROPE (reference)": "EUROPE (reference)", **{r: r for r in others}},
+        {"n_seasons": "Seasons (n)", "mean_adj_rate": "Mean Rate", "rr": "Rate Ratio", "ci_95": "95% CI"}, "Phase", "Group"))
+
+
 @query("bootstrap_median_diff")
 def bootstrap_median_diff(spark, sf):
     metric = table(spark, sf, "events").where(F.col("event_type").isin("view", "purchase")).groupBy(

@@ -165,7 +165,7 @@ def table_one(spark, sf):
     return rounded(_table_one(spark, sf), 9)
 
 
-@query("table_one_cells", TABLE_ONE + """
+CELL_ROWS = """
 SELECT stratum_variable, stratum_value, phase, n_seasons, n_weeks_obs,
   CASE WHEN weekly_median IS NULL THEN '—' ELSE printf('%.1f (%.1f–%.1f)', round(round(weekly_median, 9), 1), round(round(weekly_q1, 9), 1), round(round(weekly_q3, 9), 1)) END
     AS weekly_median_iqr,
@@ -175,12 +175,28 @@ SELECT stratum_variable, stratum_value, phase, n_seasons, n_weeks_obs,
     ELSE printf('%.1f (%.1f)', round(round(peak_mean, 9), 1), round(round(peak_sd, 9), 1)) END AS peak_rate_mean_sd,
   CASE WHEN cum_mean IS NULL THEN '—' WHEN cum_sd IS NULL THEN printf('%.1f (nan)', round(round(cum_mean, 9), 1))
     ELSE printf('%.1f (%.1f)', round(round(cum_mean, 9), 1), round(round(cum_sd, 9), 1)) END AS cum_rate_mean_sd
-FROM s JOIN o USING (phase, stratum_variable, stratum_value)""")
+FROM s JOIN o USING (phase, stratum_variable, stratum_value)"""
+
+
+@query("table_one_cells", TABLE_ONE + CELL_ROWS)
 def table_one_cells(spark, sf):
     return surveillance.table_one_cells(_table_one(spark, sf)).drop("peak_week_median_iqr", "season_dur_median_iqr")
 
 
-@query("table_one_layout")
+@query("table_one_layout", TABLE_ONE.rstrip().rstrip(",") + ", shown AS (" + CELL_ROWS + """),
+wide AS (SELECT stratum_variable, stratum_value, """ + ", ".join(
+    f"""max({m}) FILTER (WHERE phase = '{p}') AS "{t} {a}\"""" for m, t in (
+        ("weekly_median_iqr", "Median Weekly Rate"), ("peak_rate_mean_sd", "Mean Peak Rate"))
+    for p, a in (("pre_pandemic", "PRE"), ("disruption", "DISR"), ("recovery", "REC"))) + """ FROM shown GROUP BY 1, 2),
+k(position, "Group", stratum_variable, stratum_value) AS (VALUES (0, 'Panel A. Overall', NULL, NULL), (1, 'Overall', 'Overall', 'Overall'),
+  (999, '', NULL, NULL), (1000, 'Panel B. Age group', NULL, NULL), (1001, '1-URGENT', 'Age group', '1-URGENT'),
+  (1002, '2-HIGH', 'Age group', '2-HIGH'), (1003, '5-LOW', 'Age group', '5-LOW'), (1999, '', NULL, NULL),
+  (2000, 'Panel C. Virus type', NULL, NULL), (2001, 'F', 'Virus type', 'F'), (2002, 'O', 'Virus type', 'O'), (2003, 'X', 'Virus type', 'X'),
+  (2999, '', NULL, NULL))
+SELECT CAST(position AS BIGINT) AS position, "Group", """ + ", ".join(
+    f"""CASE WHEN k.stratum_variable IS NULL THEN '' ELSE coalesce("{t} {a}", '—') END AS "{t} {a}\""""
+    for t in ("Median Weekly Rate", "Mean Peak Rate") for a in ("PRE", "DISR", "REC")) + """
+FROM k LEFT JOIN wide USING (stratum_variable, stratum_value) WHERE k.stratum_variable IS NULL OR wide.stratum_value IS NOT NULL""")
 def table_one_layout(spark, sf):
     cells = surveillance.table_one_cells(_table_one(spark, sf))
     panels = [("Panel A. Overall", "Overall", ["Overall"]),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from episcope.functions.expr import cut, days_since, per_100k, signif
+from episcope.functions.expr import cut, days_since, decimals, per_100k, percent_cell, signif
 from episcope.operators import clean, filters, joins, rules, tabulate, windows
-from episcope.plans import cohort, incidence
+from episcope.plans import cohort, incidence, layouts
 from workbook.registry import query, table
 from workbook.tables import AS_OF, CLAIMS, POPULATION, REGISTRY, claims, events, positive, registry
 
@@ -343,3 +343,32 @@ def exposure_terms(spark, sf):
     out = clean.exposure_terms(li, ["a", "b", "c"], "fb", F.col("l_returnflag") == "R", F.col("a") == 1)
     return out.groupBy("total_exposure", "high_exposure", "vulnerable", "smoking_workplace").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+FLAG_TABLE = layouts.Layout(
+    "l_returnflag", "l_linestatus", {"R": "Returned", "N": "Not returned", "Z": "Unknown"}, {"O": "Open", "F": "Filled"},
+    {"n": "Lines (n)", "mean": "Mean Quantity", "share": "Discounted"}, "Flag", "Status", rows_of={"R": {"F": "Filled", "P": "Partial"}})
+
+
+@query("printed_layout", """WITH c AS (SELECT l_returnflag AS s, l_linestatus AS r, CAST(count(*) AS VARCHAR) AS n,
+  printf('%.2f', round(avg(l_quantity), 9)) AS m, printf('%.1f', round(avg(CASE WHEN l_discount > 0.045 THEN 1e0 ELSE 0 END) * 100, 9)) || '%' AS d
+  FROM lineitem GROUP BY 1, 2),
+k(position, kind, s, r, label) AS (VALUES (0, 'title', 'R', NULL, 'Returned'), (1, 'row', 'R', 'F', 'Filled'), (2, 'row', 'R', 'P', 'Partial'),
+  (3, 'blank', NULL, NULL, ''), (4, 'title', 'N', NULL, 'Not returned'), (5, 'row', 'N', 'O', 'Open'), (6, 'row', 'N', 'F', 'Filled'),
+  (7, 'blank', NULL, NULL, ''), (8, 'title', 'Z', NULL, 'Unknown'), (9, 'row', 'Z', 'O', 'Open'), (10, 'row', 'Z', 'F', 'Filled'), (11, 'blank', NULL, NULL, ''))
+SELECT CAST(position AS BIGINT) AS position, CASE WHEN kind = 'title' THEN label ELSE '' END AS "Flag",
+  CASE WHEN kind = 'row' THEN label ELSE '' END AS "Status", coalesce(n, '') AS "Lines (n)", coalesce(m, '') AS "Mean Quantity",
+  coalesce(d, '') AS "Discounted" FROM k LEFT JOIN c USING (s, r) WHERE kind <> 'row' OR n IS NOT NULL""")
+def printed_layout(spark, sf):
+    """Sections with titles and blank lines; rows and sections without data print nothing but the title."""
+    cells = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"), decimals(F.avg("l_quantity"), 2).alias("mean"),
+        percent_cell(F.avg(F.when(F.col("l_discount") > 0.045, 1.0).otherwise(0.0))).alias("share"))
+    return layouts.printed(cells, FLAG_TABLE)
+
+
+@query("relabelled_layout", """SELECT c_custkey AS "Customer", CASE c_mktsegment WHEN 'BUILDING' THEN 'BLD' WHEN 'AUTOMOBILE' THEN 'AUTO'
+  ELSE c_mktsegment END AS "Segment", c_acctbal AS "Balance" FROM customer""")
+def relabelled_layout(spark, sf):
+    return layouts.relabelled(table(spark, sf, "customer"), {"c_custkey": "Customer", "c_mktsegment": "Segment", "c_acctbal": "Balance"},
+                              {"c_mktsegment": {"BUILDING": "BLD", "AUTOMOBILE": "AUTO"}})
