@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -78,6 +79,60 @@ def demean(df: DataFrame, cols: Sequence[str], unit: str, time: str, tol: float
     raise RuntimeError("alternating projections did not settle; raise max_iter")
 
 
+@dataclass
+class PeriodSolve:
+    """Cross-products of columns free of unit and period effects. ``shift`` holds per period what the projection takes from
+    each column, ``rank`` the number of independent period effects beside those of the units."""
+
+    cross: np.ndarray
+    shift: dict
+    rank: int
+
+
+def eliminate(df: DataFrame, cols: Sequence[str], unit: str, time: str) -> PeriodSolve:
+    """Take unit and period effects out of the cross-products of any panel, exactly and without building demeaned rows.
+
+    Rows become one cell per unit and period, units one row with their cells (as many as the calendar has periods). For
+    units all that is left are sums: products within a unit less the products of its sums over its rows, for the columns and
+    for the period indicators. The driver gets T x T and T x p numbers and solves for the periods.
+    """
+    k = len(cols)
+    means = df.agg(*[F.avg(c) for c in cols]).first()
+    centred = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(cols, means)]
+    total = _products(df, centred)
+    cells = df.groupBy(unit, F.col(time).alias("t")).agg(F.count(F.lit(1)).cast("double").alias("n"),
+                                                         *[F.sum(c).alias(f"s{i}") for i, c in enumerate(centred)])
+    units = durable(cells.groupBy(unit).agg(
+        F.collect_list(F.struct("t", "n", *[f"s{i}" for i in range(k)])).alias("cells"), F.sum("n").alias("rows"),
+        *[F.sum(f"s{i}").alias(f"u{i}") for i in range(k)]))
+    total = total - _products(units, [F.col(f"u{i}") / F.sqrt("rows") for i in range(k)])
+    each = units.select("rows", "cells", *[f"u{i}" for i in range(k)], F.explode("cells").alias("a"))
+    by_period = each.groupBy("a.t").agg(F.sum("a.n").alias("n"), *[
+        F.sum(F.col(f"a.s{i}") - F.col("a.n") * F.col(f"u{i}") / F.col("rows")).alias(f"m{i}") for i in range(k)]).collect()
+    shared = each.select(F.col("a.t").alias("t"), F.col("a.n").alias("n"), "rows", F.explode("cells").alias("b")).groupBy(
+        "t", F.col("b.t").alias("o")).agg(F.sum(F.col("n") * F.col("b.n") / F.col("rows")).alias("w")).collect()
+    at = {r["t"]: i for i, r in enumerate(sorted(by_period, key=lambda r: r["t"]))}
+    dd, dc = np.zeros((len(at), len(at))), np.zeros((len(at), k))
+    for r in by_period:
+        dd[at[r["t"]], at[r["t"]]] += r["n"]
+        dc[at[r["t"]]] = [r[f"m{i}"] for i in range(k)]
+    for r in shared:
+        dd[at[r["t"]], at[r["o"]]] -= r["w"]
+    scale, rank = _inverse(dd)
+    taken = scale @ dc
+    return PeriodSolve(total - dc.T @ taken, {t: [float(x) for x in taken[i]] for t, i in at.items()}, rank)
+
+
+def _inverse(a: np.ndarray, tol: float = 1e-10) -> tuple[np.ndarray, int]:
+    """Generalised inverse and rank of a matrix of cross-products, judged after scaling its columns to length one."""
+    d = np.sqrt(np.maximum(np.diag(a), 0.0))
+    d = np.where(d > 0, d, 1.0)
+    values, vectors = np.linalg.eigh(a / np.outer(d, d))
+    keep = values > tol
+    inv = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
+    return inv / np.outer(d, d), int(keep.sum())
+
+
 def _fit(cross: np.ndarray, xs: Sequence[str], dof: int) -> tuple[np.ndarray, np.ndarray, float]:
     sxx, sxy, syy = cross[1:, 1:], cross[1:, 0], cross[0, 0]
     inv = np.linalg.pinv(sxx, hermitian=True)
@@ -100,33 +155,51 @@ def _table(df: DataFrame, xs, beta, cov, dof, extra="", tail=()) -> DataFrame:
 def twoway_fe(df: DataFrame, y: str, xs: Sequence[str], unit: str, time: str, cluster: bool = False) -> DataFrame:
     """Coefficients of ``y ~ xs + unit effects + period effects``; equal to the fit with explicit dummies.
 
-    Balanced panels need only aggregates. Others are demeaned by alternating projections. ``cluster`` gives standard
-    errors that allow for correlation within a unit. The needed columns are written out once, since the sums read them
-    several times.
+    Balanced panels need only three aggregates, others :func:`eliminate`. ``cluster`` gives standard errors that allow for
+    correlation within a unit. Degrees of freedom count independent effects and columns: units, periods less one per
+    connected part of the panel, and the rank of ``xs`` beside them. The needed columns are written out once, since the
+    sums read them several times.
     """
     rows = durable(df.select(unit, time, y, *xs).dropna())
     return _twoway(rows, y, xs, unit, time, cluster)
 
 
-def _twoway(rows: DataFrame, y: str, xs: Sequence[str], unit: str, time: str, cluster: bool = False) -> DataFrame:
-    df = rows
+def _twoway(rows: DataFrame, y: str, xs: Sequence[str], unit: str, time: str, cluster: bool = False,
+            max_periods: int = 2000) -> DataFrame:
     n, units, periods, balanced = panel_shape(rows, unit, time)
     cols = [y, *xs]
-    dof = n - units - periods + 1 - len(xs)
     if balanced and not cluster:
-        cross = balanced_cross(rows, cols, unit, time, units, periods)
-        beta, inv, s2 = _fit(cross, xs, dof)
-        return _table(df, xs, beta, s2 * inv, dof, ", n long, n_units long, n_periods long", (n, units, periods))
-    flat = demean(rows, cols, unit, time)
-    cross = _products(flat, [F.col(c) for c in cols])
-    beta, inv, s2 = _fit(cross, xs, dof)
+        solve = PeriodSolve(balanced_cross(rows, cols, unit, time, units, periods), {}, periods - 1)
+    elif periods <= max_periods:
+        solve = eliminate(rows, cols, unit, time)
+    else:  # the driver's table of periods grows with their square, so long calendars are demeaned in sweeps
+        flat = demean(rows, cols, unit, time)
+        solve = PeriodSolve(_products(flat, [F.col(c) for c in cols]), {}, periods - 1)
+        rows = flat
+    dof = n - units - solve.rank - _inverse(solve.cross[1:, 1:])[1]
+    beta, inv, s2 = _fit(solve.cross, xs, dof)
     cov = s2 * inv
     if cluster:
-        resid = F.col(y) - sum((F.col(c) * F.lit(float(b)) for c, b in zip(xs, beta)), F.lit(0.0))
-        scores = flat.groupBy(unit).agg(*[F.sum(F.col(c) * resid).alias(f"s{i}") for i, c in enumerate(xs)])
-        meat = _products(scores, [F.col(f"s{i}") for i in range(len(xs))])
+        meat = _unit_scores(rows, cols, unit, time, solve.shift, beta)
         cov = inv @ meat @ inv * (units / (units - 1)) * ((n - 1) / dof)
-    return _table(df, xs, beta, cov, dof, ", n long, n_units long, n_periods long", (n, units, periods))
+    return _table(rows, xs, beta, cov, dof, ", n long, n_units long, n_periods long", (n, units, periods))
+
+
+def _unit_scores(rows: DataFrame, cols: Sequence[str], unit: str, time: str, shift: dict, beta: np.ndarray) -> np.ndarray:
+    """Sum over units of the outer products of their scores. A unit's score needs the products and sums of its columns less
+    the period shifts, so one grouped pass is enough."""
+    k = len(cols)
+    moved = rows
+    if shift:
+        schema = ", ".join([f"`{time}` {dict(rows.dtypes)[time]}", *[f"g{i} double" for i in range(k)]])
+        table = rows.sparkSession.createDataFrame([(t, *g) for t, g in shift.items()], schema)
+        moved = rows.join(F.broadcast(table), time)  # one row per period, no more than the driver has just solved for
+    z = [F.col(c).cast("double") - (F.col(f"g{i}") if shift else F.lit(0.0)) for i, c in enumerate(cols)]
+    resid = z[0] - sum((x * F.lit(float(b)) for x, b in zip(z[1:], beta)), F.lit(0.0))
+    # A pass over rows gives sums of x * residual, of x and of residuals; the unit's means are taken out afterwards.
+    sums = moved.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), F.sum(resid).alias("r"), *[
+        F.sum(x * resid).alias(f"p{i}") for i, x in enumerate(z[1:])], *[F.sum(x).alias(f"x{i}") for i, x in enumerate(z[1:])])
+    return _products(sums, [F.col(f"p{i}") - F.col(f"x{i}") * F.col("r") / F.col("n") for i in range(k - 1)])
 
 
 def one_way_fe(df: DataFrame, y: str, xs: Sequence[str], unit: str) -> DataFrame:
@@ -143,7 +216,7 @@ def one_way_fe(df: DataFrame, y: str, xs: Sequence[str], unit: str) -> DataFrame
     scaled = [F.col(f"s{i}") / F.sqrt("n") for i in range(len(cols))]
     cross = total - _products(sums, scaled)
     size = sums.agg(F.sum("n"), F.count(F.lit(1))).first()
-    dof = size[0] - size[1] - int(np.linalg.matrix_rank(cross[1:, 1:], hermitian=True))
+    dof = size[0] - size[1] - _inverse(cross[1:, 1:])[1]
     beta, inv, s2 = _fit(cross, xs, dof)
     return _table(df, xs, beta, s2 * inv, dof, ", n long, n_units long", (size[0], size[1]))
 

@@ -138,6 +138,42 @@ def test_contrasts_and_anova(spark, rng):
     assert test["arm"]["p_value"] < 1e-10 and test["arm"]["dof"] == 2
 
 
+def _explicit_dummies(d, xs):
+    """Coefficients, degrees of freedom and both kinds of covariance from explicit dummies."""
+    x = d[xs].to_numpy(float)
+    x = x - x.mean(axis=0)  # the effects take the means up
+    full = np.column_stack([x, *[(d["u"] == v).to_numpy(float) for v in sorted(d["u"].unique())],
+                            *[(d["t"] == v).to_numpy(float) for v in sorted(d["t"].unique())]])
+    left = np.linalg.pinv(full, rcond=1e-10)
+    inv, beta = left @ left.T, left @ d["y"].to_numpy()
+    resid = d["y"].to_numpy() - full @ beta
+    n, units, dof = len(d), d["u"].nunique(), len(d) - int(np.linalg.matrix_rank(full))
+    scores = pd.DataFrame(full * resid[:, None]).groupby(d["u"].to_numpy()).sum().to_numpy()
+    k = len(xs)
+    clustered = (inv @ (scores.T @ scores) @ inv)[:k, :k] * units / (units - 1) * (n - 1) / dof
+    return beta[:k], dof, (inv * (resid @ resid) / dof)[:k, :k], clustered
+
+
+@pytest.mark.parametrize("kind", ["holes", "repeats", "two parts", "long calendar"])
+@pytest.mark.parametrize("cluster", [False, True])
+def test_unbalanced_panels_equal_explicit_dummies(spark, rng, monkeypatch, kind, cluster):
+    d = pd.DataFrame([(u, t) for u in range(24) for t in range(9)], columns=["u", "t"])
+    if kind == "two parts":  # no unit links the early periods with the late ones
+        d = d[(d["u"] < 12) == (d["t"] < 5)]
+    d = d.sample(frac=0.7, random_state=4)
+    if kind == "repeats":
+        d = pd.concat([d, d.iloc[:30], d.iloc[:11]])
+    d = d.assign(x=rng.normal(1e4, 1, len(d)) + d["u"] + d["t"] ** 2, post=(d["t"] >= d["u"] % 7 + 1).astype(float))
+    d["y"] = 1e5 + 0.3 * d["x"] + d["post"] + d["u"] ** 2 + 3 * np.sin(d["t"]) + rng.normal(size=len(d))
+    if kind == "long calendar":
+        monkeypatch.setattr(fixed_effects._twoway, "__defaults__", (False, 3))
+    beta, dof, plain, clustered = _explicit_dummies(d, ["x", "post"])
+    got = {r["term"]: r for r in fixed_effects.twoway_fe(spark.createDataFrame(d), "y", ["x", "post"], "u", "t", cluster).collect()}
+    for i, name in enumerate(["x", "post"]):
+        assert got[name]["estimate"] == pytest.approx(beta[i], rel=1e-5 if kind == "long calendar" else 1e-7)
+        assert got[name]["se"] == pytest.approx(math.sqrt((clustered if cluster else plain)[i, i]), rel=1e-5)
+
+
 def _least_squares(x, y, names):
     beta, rss = np.linalg.lstsq(x, y, rcond=None)[0], None
     rss = float(((y - x @ beta) ** 2).sum())
