@@ -82,6 +82,15 @@ def replace_values(df: DataFrame, col: str, corrections: Mapping[str, str]) -> D
     return df.replace(dict(corrections), subset=[col])
 
 
+def correction_counts(df: DataFrame, col: str, corrections: Mapping[str, str]) -> DataFrame:
+    """How many rows each correction of :func:`replace_values` touches; corrections that touch none are listed with 0."""
+    old = list(corrections)
+    counted = df.agg(*[F.count_if(F.col(col) == F.lit(o)).alias(f"n{i}") for i, o in enumerate(old)])
+    return counted.select(F.explode(F.array(*[F.struct(
+        F.lit(o).alias("value"), F.lit(corrections[o]).alias("corrected"), F.col(f"n{i}").alias("n_rows"))
+        for i, o in enumerate(old)])).alias("c")).select("c.*")
+
+
 def drop_if_present(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.drop(*cols)
 

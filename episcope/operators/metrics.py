@@ -108,6 +108,14 @@ def pr_points(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -
         "recall": _ratio(F.col("cum_first"), pos)})
 
 
+def with_start(points: DataFrame, keys: Sequence[str] = (), **start: float) -> DataFrame:
+    """Curve points with the point before the highest score, one per key; its threshold is null. ROC curves start at
+    ``tpr=0, fpr=0``, precision-recall curves at ``precision=1, recall=0``."""
+    head = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(
+        *keys, F.lit(None).cast(dict(points.dtypes)["threshold"]).alias("threshold"), *[F.lit(float(v)).alias(c) for c, v in start.items()])
+    return points.unionByName(head)
+
+
 def _curve(ranks: DataFrame, keys: Sequence[str], columns) -> DataFrame:
     totals = ranks.groupBy(*keys).agg(F.sum("n_first").alias("__pos"), F.sum("n_second").alias("__neg"))
     if keys:

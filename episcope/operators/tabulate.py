@@ -425,6 +425,18 @@ def profile(df: DataFrame, target: str) -> DataFrame:
         "n_binary", F.lit(len(numeric - {target})).cast("long").alias("n_numeric"))
 
 
+def feature_kinds(df: DataFrame, target: str) -> DataFrame:
+    """Kind of every feature: Binary (a number that is 0 or 1 in every row, both met), Continuous or Categorical."""
+    numeric = set(numeric_columns(df))
+    features = [c for c in df.columns if c != target]
+    both = {c: (F.count_if(F.coalesce(F.col(c).isin(0, 1), F.lit(False))) == F.count(F.lit(1))) & (F.min(c) != F.max(c))
+            for c in features if c in numeric}
+    row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.coalesce(b, F.lit(False)).alias(f"__b{features.index(c)}") for c, b in both.items()])
+    kinds = [F.struct(F.lit(c).alias("feature"), (F.when(F.col(f"__b{i}"), "Binary").otherwise("Continuous") if c in both else
+                                                  F.lit("Categorical")).alias("kind")) for i, c in enumerate(features)]
+    return row.select(F.explode(F.array(*kinds)).alias("k")).select("k.*")
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of two categories with the share within each value of ``a``. The share is a window over the counted
     cells, never over rows."""

@@ -71,6 +71,14 @@ def text_scan(spark, sf):
     return surveillance.clean_extract(back).select(*EXTRACT_COLUMNS)
 
 
+@query("correction_counts", """SELECT k.value, k.corrected, count(o_orderkey) AS n_rows
+FROM (VALUES ('1-URGENT', 'urgent'), ('5-LOW', 'low'), ('9-NONE', 'none')) k(value, corrected)
+LEFT JOIN orders ON o_orderpriority = k.value GROUP BY 1, 2""")
+def correction_counts(spark, sf):
+    return clean.correction_counts(table(spark, sf, "orders"), "o_orderpriority",
+                                   {"1-URGENT": "urgent", "5-LOW": "low", "9-NONE": "none"})
+
+
 @query("repeated_headers", """SELECT c_custkey, c_name, c_name AS "c_name.1", c_acctbal, c_name AS "c_name.2" FROM customer""")
 def repeated_headers(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", "c_name", "c_name", "c_acctbal", "c_name")

@@ -139,6 +139,17 @@ def twoway_fe(spark, sf):
         "term", F.round("estimate", 5).alias("estimate"), F.round("se", 5).alias("se"), "n", "n_units")
 
 
+@query("unbalanced_fe")
+def unbalanced_fe(spark, sf):
+    """Only the days on which a user has events, errors clustered by user."""
+    from episcope.operators.joins import enrich
+    ev = table(spark, sf, "events").withColumn("day", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")))
+    daily = ev.groupBy("user_id", "day").agg(F.sum("value").alias("y"), F.count_if(F.col("event_type") == "click").alias("clicks"))
+    start = ev.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("day").alias("start"))
+    rows = enrich(daily, start, "user_id").withColumn("post", flag(F.col("day") >= F.col("start")))
+    return fixed_effects.twoway_fe(rows, "y", ["post", "clicks"], "user_id", "day", cluster=True)
+
+
 @query("unit_fe")
 def unit_fe(spark, sf):
     return fixed_effects.one_way_fe(_day_panel(spark, sf), "y", ["post", "day"], "user_id")

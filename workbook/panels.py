@@ -636,3 +636,14 @@ def season_features(spark, sf):
                                        excluded=SUPPRESSED)
     return out.withColumns({"mean_rate": F.round("mean_rate", 9), "cum_rate": F.round("cum_rate", 4),
                             "cv": F.round("cv", 9)})
+
+
+@query("feature_kinds", """WITH c AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS d FROM customer)
+SELECT unnest(['c_custkey', 'c_mktsegment', 'debt', 'gaps', 'constant']) AS feature,
+  unnest(['Continuous', 'Categorical', CASE WHEN d > 0 AND d < n THEN 'Binary' ELSE 'Continuous' END, 'Continuous', 'Continuous']) AS kind FROM c""")
+def feature_kinds(spark, sf):
+    debt = flag(F.col("c_acctbal") < 0)
+    df = table(spark, sf, "customer").select(
+        "c_custkey", "c_mktsegment", debt.alias("debt"), F.when(F.col("c_custkey") % 5 != 0, debt).alias("gaps"),
+        F.lit(1).alias("constant"), flag(F.col("c_nationkey") == 3).alias("target"))
+    return tabulate.feature_kinds(df, "target")

@@ -208,6 +208,23 @@ def pr_points(spark, sf):
     return rounded(metrics.pr_points(scored_lines(spark, sf), "label", "score"), 8)
 
 
+@query("roc_curve", CONFUSION + """
+SELECT l_linestatus, score AS threshold, round(cp / p, 8) AS tpr, round((cn - cp) / q, 8) AS fpr
+FROM cv JOIN a USING (l_linestatus) UNION ALL SELECT l_linestatus, NULL, 0e0, 0e0 FROM a""")
+def roc_curve(spark, sf):
+    keys = ["l_linestatus"]
+    points = metrics.roc_points(scored_lines(spark, sf), "label", "score", keys)
+    return rounded(metrics.with_start(points, keys, tpr=0, fpr=0), 8)
+
+
+@query("pr_curve", CONFUSION + """
+SELECT score AS threshold, round(cp / cn, 8) AS precision, round(cp / (SELECT sum(p) FROM a), 8) AS recall FROM (
+  SELECT score, sum(sum(np)) OVER (ORDER BY score DESC) AS cp, sum(sum(n)) OVER (ORDER BY score DESC) AS cn
+  FROM v GROUP BY score) UNION ALL SELECT NULL, 1e0, 0e0""")
+def pr_curve(spark, sf):
+    return rounded(metrics.with_start(metrics.pr_points(scored_lines(spark, sf), "label", "score"), precision=1, recall=0), 8)
+
+
 @query("calibration", f"""WITH {SCORED}
 SELECT CAST(greatest(ceil(score * 10) - 1, 0) AS BIGINT) AS bin, count(*) AS n, round(avg(label), 8) AS observed,
   round(avg(score), 8) AS predicted FROM scored GROUP BY 1""")
