@@ -26,8 +26,14 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype("float64") if len(vectors) else np.zeros((0, 0))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
+def _distances(a: np.ndarray, b: np.ndarray, pairs: int = 100_000) -> np.ndarray:
+    """Euclidean distances by products; where these cancel (points close together, far from the origin) by differences."""
+    norms = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    sq = norms - 2.0 * a @ b.T
+    row, col = np.nonzero(sq < 1e-6 * norms)
+    for at in range(0, len(row), pairs):
+        i, j = row[at:at + pairs], col[at:at + pairs]
+        sq[i, j] = ((a[i] - b[j]) ** 2).sum(1)
     return np.sqrt(np.maximum(sq, 0.0))
 
 

@@ -174,6 +174,20 @@ def test_unbalanced_panels_equal_explicit_dummies(spark, rng, monkeypatch, kind,
         assert got[name]["se"] == pytest.approx(math.sqrt((clustered if cluster else plain)[i, i]), rel=1e-5)
 
 
+def test_neighbours_far_from_the_origin(spark, rng):
+    """Copies at norm 1e4 are at distance 0, and points a millionth apart keep their order."""
+    base = rng.normal(1e4, 1, (40, 3))
+    points = np.vstack([base, base[:10], base[10:20] + 1e-6 * rng.normal(size=(10, 3))])
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, vec array<double>")
+    got = {(r["qid"], r["rank"]): r for r in neighbours.nearest_neighbours(df, df, 2).collect()}
+    every = np.sqrt(((points[:, None] - points[None, :]) ** 2).sum(2))
+    first = min(r for _, r in got)
+    for i in range(10):
+        assert got[(i, first)]["pid"] == 40 + i and got[(i, first)]["dist"] == 0.0
+    for i in range(10, 20):
+        assert got[(i, first)]["pid"] == 40 + i and got[(i, first)]["dist"] == pytest.approx(every[i, 40 + i], abs=1e-9)  # nine digits
+
+
 def _least_squares(x, y, names):
     beta, rss = np.linalg.lstsq(x, y, rcond=None)[0], None
     rss = float(((y - x @ beta) ** 2).sum())
