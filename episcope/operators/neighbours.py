@@ -1,9 +1,9 @@
 """Exact nearest neighbours and the oversampling that builds on them.
 
-Points are assigned to the nearest of a fixed number of pivots. From the pivot distances alone every query gets a
-radius that surely holds k points, and the triangle inequality rules out the cells it cannot reach. What remains is
-compared block by block; blocks and query batches have a bounded size, so no task ever holds a whole cell or class,
-and only the k best per block leave a task.
+Equal vectors are compared once. Points are assigned to the nearest of a fixed number of pivots. From the pivot distances
+alone every query gets a radius that surely holds enough points, and the triangle inequality rules out the cells it cannot
+reach. What remains is compared block by block; blocks and query batches have a bounded size, so no task ever holds a whole
+cell or class, and only the best per block leave a task.
 """
 
 from __future__ import annotations
@@ -37,15 +37,101 @@ def _distances(a: np.ndarray, b: np.ndarray, pairs: int = 100_000) -> np.ndarray
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int, n_pivots: int = 64, block: int = 8192) -> DataFrame:
-    """The k nearest points of every query, itself left out: columns ``qid, rank, pid, dist``.
+def _offer(batches: Iterator[pd.DataFrame], centre: np.ndarray, far: np.ndarray, near: np.ndarray, size: np.ndarray,
+           inside: np.ndarray, need: int) -> Iterator[pd.DataFrame]:
+    """The blocks that each query may have to look at; ``inside`` says which cells have points in which block."""
+    for b in batches:
+        d = _distances(_matrix(b["vec"]), centre)
+        upper, lower = d + far, np.maximum(d - far, near - d)
+        order = upper.argsort(1)
+        filled = np.take_along_axis(np.broadcast_to(size, d.shape), order, 1).cumsum(1) >= need
+        first = np.where(filled.any(1), filled.argmax(1), d.shape[1] - 1)
+        radius = np.take_along_axis(upper, np.take_along_axis(order, first[:, None], 1), 1)
+        met = (lower <= radius).astype("float32") @ inside > 0
+        yield pd.DataFrame({"q": b["q"], "vec": b["vec"], "blk": [np.flatnonzero(r).astype("int32") for r in met]})
 
-    Both frames have a unique ``id`` (long) and a ``vec`` (array of doubles). Ties go to the smaller id. The result is
-    exact; the work shrinks with how well the cells separate the data.
+
+def _smallest(row: np.ndarray, col: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
+    """Where the k smallest distances of each row are, ties to the smaller column, ordered by row."""
+    order = np.lexsort((col, dist, row))
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+
+
+def _nearest(queries: np.ndarray, points: np.ndarray, k: int, rows: int = 256, cols: int = 2048,
+             pairs: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and distance (nine digits) of the k nearest points of each query, ties to the smaller column.
+
+    Squares from products only pass over points that are too far even with the largest error of the product; the others are
+    compared by differences in double precision. The matrix of one step has ``rows * cols`` entries. Vectors that are not
+    finite take no part.
     """
-    n = points.count()
-    if n == 0 or queries.isEmpty():
-        return points.sparkSession.createDataFrame([], "qid long, rank int, pid long, dist double")
+    fine = [np.flatnonzero(np.isfinite(m).all(1)) for m in (queries, points)]
+    if len(fine[0]) < len(queries) or len(fine[1]) < len(points):
+        row, col, dist = _nearest(queries[fine[0]], points[fine[1]], k, rows, cols, pairs)
+        return fine[0][row], fine[1][col], dist
+    if not len(queries) or not len(points):
+        return np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
+    middle = points.mean(0)  # norms and with them the errors are small around it
+    q, p = queries - middle, points - middle
+    q_sq, p_sq = (q * q).sum(1), (p * p).sum(1)
+    single = q_sq.max() + p_sq.max() < 1e30
+    kind = np.float32 if single else np.float64
+    error = 8.0 * (points.shape[1] + 4) * np.finfo(kind).eps
+    # The product of (-2 q, 1, |q|^2) and (p, |p|^2, 1) is the squared distance.
+    left = np.column_stack([-2.0 * q, np.ones(len(q)), q_sq]).astype(kind)
+    right = np.column_stack([p, p_sq, np.ones(len(p))]).astype(kind)
+    above = lambda d, slack: np.nextafter(((d + 2e-9) ** 2 + slack).astype(kind), kind(np.inf))
+    out = []
+    for lo in range(0, len(queries), rows):
+        mine, some = queries[lo:lo + rows], left[lo:lo + rows]
+        row, col, dist = np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
+        limit = np.full(len(mine), np.inf)  # the k-th distance so far
+        for at in range(0, len(points), cols):
+            sq = some @ right[at:at + cols].T
+            slack = error * (q_sq[lo:lo + rows] + p_sq[at:at + cols].max()) + 1e-30
+            bar = above(limit, slack)
+            start = np.flatnonzero(np.isinf(limit))
+            if len(start) and sq.shape[1] > k:
+                kth = np.partition(sq[start], k - 1, 1)[:, k - 1].astype("float64")
+                bar[start] = above(np.sqrt(np.maximum(kth + slack[start], 0.0)), slack[start])
+            i, j = np.divmod(np.flatnonzero(sq <= bar[:, None]), sq.shape[1])
+            if not len(i):
+                continue
+            near = points[at:at + cols]
+            d = np.concatenate([np.sqrt(((mine[i[x:x + pairs]] - near[j[x:x + pairs]]) ** 2).sum(1)) for x in range(0, len(i), pairs)])
+            row, col, dist = np.r_[row, i], np.r_[col, j + at], np.r_[dist, np.round(d, 9)]
+            keep = _smallest(row, col, dist, k)
+            row, col, dist = row[keep], col[keep], dist[keep]
+            last = np.flatnonzero(np.bincount(row, minlength=len(mine)) >= k)
+            limit[last] = dist[np.searchsorted(row, last, "right") - 1]
+        out.append((row + lo, col, dist))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _layout(size: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: small cells share a block, large ones are cut into several."""
+    first, count, at, used = [], [], 0, 0
+    for n in size:
+        if used and used + n > block:
+            at, used = at + 1, 0
+        first.append(at)
+        count.append(max(1, math.ceil(n / block)))
+        if n > block:
+            at += count[-1]
+        else:
+            used += n
+    return np.array(first), np.array(count)
+
+
+#: Blocks to a side at least, so that a small search is spread too, and the rows below which a block is not cut for that.
+SIDE, SMALL = 6, 1024
+
+
+def _nearest_distinct(queries: DataFrame, points: DataFrame, k: int, n_pivots: int, block: int) -> DataFrame:
+    """The k nearest of distinct vectors: ``queries`` has ``q, vec``, ``points`` has ``p, id, vec``; ties go to the smaller
+    id. Columns ``q, p, id, dist``. Both frames are read several times."""
+    n, n_queries = points.count(), queries.count()
     pivots = _matrix(points.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()["vec"])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,60 +140,73 @@ def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int, n_pivots:
             yield b.assign(cell=d.argmin(1).astype("int32"), reach=d.min(1))
 
     # A little slack on radii keeps rounding from ever excluding a true neighbour.
-    placed = durable(points.select("id", "vec").mapInPandas(assign, "id long, vec array<double>, cell int, reach double"))
+    placed = durable(points.select("p", "id", "vec").mapInPandas(
+        assign, "p long, id long, vec array<double>, cell int, reach double"))
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("far"),
                                        F.min("reach").alias("near")).orderBy("cell").toPandas()
-    centre, size = pivots[cells["cell"].to_numpy()], cells["n"].to_numpy()
+    ids, size = cells["cell"].to_numpy(), cells["n"].to_numpy()
+    centre = pivots[ids]
     far, near = cells["far"].to_numpy() * (1 + 1e-9) + 1e-6, cells["near"].to_numpy() * (1 - 1e-9) - 1e-6
-    blocks = np.ceil(size / block).astype("int64")
-    ids = cells["cell"].to_numpy()
-    n_queries = queries.count()
-    batches_n = max(1, math.ceil(n_queries / block))
+    first, count = _layout(size, min(block, max(SMALL, math.ceil(n / SIDE))))
+    blocks = int((first + count).max())
+    inside = np.zeros((len(ids), blocks), "float32")
+    for c, (a, m) in enumerate(zip(first, count)):
+        inside[c, a:a + m] = 1
+    batches_n = max(1, math.ceil(n_queries / min(block, max(SMALL, math.ceil(n_queries / SIDE)))))
 
-    def reachable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            d = _distances(_matrix(b["vec"]), centre)
-            upper, lower = d + far, np.maximum(d - far, near - d)
-            order = upper.argsort(1)
-            filled = np.take_along_axis(np.broadcast_to(size, d.shape), order, 1).cumsum(1) >= k + 1
-            first = np.where(filled.any(1), filled.argmax(1), d.shape[1] - 1)
-            radius = np.take_along_axis(upper, np.take_along_axis(order, first[:, None], 1), 1)
-            row, col = np.nonzero(lower <= radius)
-            times = blocks[col]
-            row, col = np.repeat(row, times), np.repeat(col, times)
-            start = np.repeat(np.cumsum(times) - times, times)
-            yield pd.DataFrame({"qid": b["id"].to_numpy()[row], "vec": b["vec"].to_numpy()[row],
-                                "cell": ids[col].astype("int32"),
-                                "blk": np.arange(len(row), dtype="int64") - start})
-
-    asked = queries.select("id", "vec").mapInPandas(reachable, "qid long, vec array<double>, cell int, blk long")
-    asked = asked.withColumn("batch", F.pmod(F.xxhash64("qid"), F.lit(batches_n)).cast("int"))
-    per_cell = F.create_map(*[F.lit(int(x)) for kv in zip(ids, blocks) for x in kv])
-    offered = (placed.withColumn("blk", F.pmod(F.xxhash64("id", F.lit(1)), F.element_at(per_cell, F.col("cell"))))
-               .withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches_n - 1)))))
+    asked = queries.select("q", "vec").mapInPandas(
+        lambda batches: _offer(batches, centre, far, near, size, inside, k), "q long, vec array<double>, blk array<int>")
+    asked = asked.select("q", "vec", F.explode("blk").alias("blk"), F.pmod(F.xxhash64("q"), F.lit(batches_n)).cast("int").alias("batch"))
+    lookup = lambda v: F.create_map(*[F.lit(int(x)) for kv in zip(ids, v) for x in kv])
+    own = F.element_at(lookup(first), F.col("cell")) + F.pmod(F.xxhash64("p", F.lit(1)), F.element_at(lookup(count), F.col("cell")))
+    offered = placed.select("p", "id", "vec", own.cast("int").alias("blk"),
+                            F.explode(F.sequence(F.lit(0), F.lit(batches_n - 1))).alias("batch"))
 
     def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if q.empty or p.empty:
-            return pd.DataFrame({"qid": [], "pid": [], "dist": []})
-        pid = p["id"].to_numpy()
-        p_order = pid.argsort()
-        pid, points_m = pid[p_order], _matrix(p["vec"])[p_order]
-        qid, queries_m = q["qid"].to_numpy(), _matrix(q["vec"])
-        take, parts = min(k, len(pid)), []
-        for lo in range(0, len(qid), 1024):  # bounds the distance matrix of one step
-            some = qid[lo:lo + 1024]
-            d = np.round(_distances(queries_m[lo:lo + 1024], points_m), 9)
-            d[some[:, None] == pid[None, :]] = np.inf
-            at = np.argsort(d, axis=1, kind="stable")[:, :take]
-            parts.append(pd.DataFrame({"qid": np.repeat(some, take), "pid": pid[at].ravel(),
-                                       "dist": np.take_along_axis(d, at, 1).ravel()}))
-        out = pd.concat(parts)
-        return out[np.isfinite(out["dist"])]
-
-    keys = ["cell", "blk", "batch"]
-    found = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(best, "qid long, pid long, dist double")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "pid"))  # k rows per block met
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "pid", "dist")
+            return pd.DataFrame({"q": [], "p": [], "id": [], "dist": []})
+        p = p.sort_values("id", kind="stable")
+        row, col, dist = _nearest(_matrix(q["vec"]), _matrix(p["vec"]), min(k, len(p)))
+        return pd.DataFrame({"q": q["q"].to_numpy()[row], "p": p["p"].to_numpy()[col], "id": p["id"].to_numpy()[col], "dist": dist})
+
+    # The work of a pair of blocks is not in its bytes: as many tasks as pairs, which adaptive planning leaves alone.
+    keys, parts = ["blk", "batch"], min(blocks * batches_n, 4096)
+    found = asked.repartition(parts, *keys).groupBy(*keys).cogroup(offered.repartition(parts, *keys).groupBy(*keys)).applyInPandas(
+        best, "q long, p long, id long, dist double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))  # k rows per block met
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int, n_pivots: int = 64, block: int = 32768) -> DataFrame:
+    """The k nearest points of every query, itself left out: columns ``qid, rank, pid, dist``.
+
+    Both frames have a unique ``id`` (long) and a ``vec`` (array of doubles). Ties go to the smaller id. The result is
+    exact; the work shrinks with how well the cells separate the data and with the number of equal vectors. Among distinct
+    vectors without structure it stays quadratic, in tasks of ``block`` queries and ``block`` points at most.
+    """
+    if points.isEmpty() or queries.isEmpty():
+        return points.sparkSession.createDataFrame([], "qid long, rank int, pid long, dist double")
+    need = k + 1  # the query itself is among them
+    # Equal vectors: the smallest ids are all that can be among the nearest.
+    rank = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    copies = points.groupBy("id", "vec").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", rank).where(F.col("rank") <= need)
+    held = durable(copies.groupBy("vec").agg(F.min("id").alias("id"), F.array_sort(F.collect_list(F.struct("id", "n"))).alias("own"))
+                   .withColumn("p", F.monotonically_increasing_id()))
+    vectors = durable(queries.select("vec").distinct().withColumn("q", F.monotonically_increasing_id()))
+    # A vector that is not among the nearest by distance and smallest id has k other points before all of its own.
+    found = durable(_nearest_distinct(vectors, held, need, n_pivots, block))
+    met = enrich(found.select("q", "p", "dist"), held.select("p", "own"), "p").select("q", "dist", F.explode("own").alias("o"))
+    order = F.row_number().over(Window.partitionBy("q").orderBy("dist", "o.id"))  # k + 1 times k + 1 rows
+    met = met.withColumn("rank", order).where(F.col("rank") <= need).groupBy("q").agg(
+        F.array_sort(F.collect_list(F.struct("dist", F.col("o.id").alias("pid"), "o.n"))).alias("near"))
+    lists = durable(met.join(vectors, "q").select("vec", "near"))
+    others = F.filter("near", lambda x: F.coalesce(x["pid"] != F.col("id"), F.lit(True)))
+    # A point that is given several times counts as often.
+    each = F.flatten(F.transform(others, lambda x: F.array_repeat(x, F.least(x["n"], F.lit(k)).cast("int"))))
+    rows = enrich(queries.select("id", "vec"), lists, "vec", "inner").select(
+        F.col("id").alias("qid"), F.explode(F.slice(each, 1, k)).alias("x")).select("qid", "x.pid", "x.dist")
+    final = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "pid"))  # k rows to a query
+    return rows.withColumn("rank", final).where(F.col("rank") <= k).select("qid", "rank", "pid", "dist")
 
 
 def _class_sizes(df: DataFrame, label: str, minority) -> tuple[int, int]:

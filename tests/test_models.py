@@ -481,6 +481,43 @@ def test_neighbours_equal_brute_force_on_skewed_points(spark, rng):
     assert np.allclose(got.dist.to_numpy().reshape(360, 4), _brute(x, 4), atol=1e-6)
 
 
+def test_neighbours_compare_equal_vectors_once(spark, rng, monkeypatch):
+    """2,000 rows of 60 vectors: 60 queries meet 60 points, and the ids are still those of all rows."""
+    x = rng.normal(size=(60, 3))[rng.integers(0, 60, 2000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vec array<double>")
+    seen, search = [], neighbours._nearest_distinct
+    monkeypatch.setattr(neighbours, "_nearest_distinct", lambda q, p, *rest: seen.append((q.count(), p.count())) or search(q, p, *rest))
+    got = neighbours.nearest_neighbours(df, df, 4).toPandas().sort_values(["qid", "rank"])
+    kinds = len(np.unique(x, axis=0))
+    assert seen == [(kinds, kinds)] and len(got) == 2000 * 4
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 9)
+    np.fill_diagonal(d, np.inf)
+    assert (got.pid.to_numpy().reshape(2000, 4) == np.argsort(d, axis=1, kind="stable")[:, :4]).all()
+
+
+def test_neighbours_copy_a_query_once_per_block(rng):
+    """What leaves Python for a query is one row, however many cells and blocks the points have."""
+    x, centre = rng.normal(size=(500, 4)), rng.normal(size=(8, 4))
+    first, count = neighbours._layout(np.array([3, 4, 100, 2, 5, 9, 1, 1]), 10)
+    assert count.tolist() == [1, 1, 10, 1, 1, 1, 1, 1] and first.tolist() == [0, 0, 1, 11, 11, 12, 12, 13]
+    inside = np.zeros((8, 14), "float32")
+    for c in range(8):
+        inside[c, first[c]:first[c] + count[c]] = 1
+    batch = pd.DataFrame({"q": np.arange(500), "vec": list(x)})
+    out = next(neighbours._offer(iter([batch]), centre, np.full(8, 50.0), np.zeros(8), np.full(8, 5), inside, 3))
+    assert len(out) == 500 and all((b == np.arange(14)).all() for b in out["blk"])
+
+
+@pytest.mark.parametrize("scale, shift", [(1, 0), (1, 1e4), (1e-20, 0), (1e18, 0), (1e-6, 1e4)])
+def test_nearest_in_steps_equals_brute_force(rng, scale, shift):
+    x = rng.normal(size=(300, 5)) * scale + shift
+    x[100:150], x[7] = x[:50], np.nan
+    row, col, _ = neighbours._nearest(x, x, 6, rows=64, cols=70)
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 9)
+    want = np.delete(np.argsort(np.nan_to_num(d, nan=np.inf), axis=1, kind="stable")[:, :6], 7, axis=0)
+    assert (col.reshape(299, 6) == want).all() and 7 not in row
+
+
 def test_smote_counts_and_segments(spark, rng):
     x = rng.normal(size=(200, 2))
     label = (np.arange(200) < 40).astype(int)
