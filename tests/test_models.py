@@ -595,6 +595,29 @@ def test_evaluation_reports_every_split(spark, rng):
     assert top["importance"] == pytest.approx(1.0)
 
 
+def test_text_forest_merges_equal_rows(spark, rng, monkeypatch):
+    """Above the limit the trees read merged rows with the weight of all; below it every row."""
+    n = 3000
+    x = rng.integers(0, 5, n).astype(float)
+    df = frame(spark, id=np.arange(n), x=x, t=np.where(np.arange(n) % 2 == 0, "fever cough", "none"), y=np.where(x > 2, "a", "b"))
+    read, fit = [], learning.RandomForestClassifier.fit
+
+    def spy(self, rows, *rest):
+        read.append(rows.agg(F.count(F.lit(1)), F.sum("weight")).first())
+        return fit(self, rows, *rest)
+    monkeypatch.setattr(learning.RandomForestClassifier, "fit", spy)
+    models = []
+    for limit in (n, 100, 4):
+        monkeypatch.setattr(learning, "MERGED_ROWS", limit)
+        models.append(learning.text_forest(df, "y", "t", ["x"], trees=5))
+    assert read[0][0] == n and 10 < read[1][0] <= 100 and read[2][0] == 10  # ten kinds of rows
+    assert [r[1] for r in read] == pytest.approx([n] * 3)
+    scaler = [m.stages[2] for m in models]
+    assert all(list(s.mean) == pytest.approx([x.mean()]) for s in scaler)
+    for m in models[:2]:
+        assert m.transform(df).where("predicted <> y").count() == 0
+
+
 def test_chains_know_training_rows_only(spark, rng):
     n = 300
     df = frame(spark, id=np.arange(n), x=rng.normal(size=n), c=np.where(np.arange(n) % 3 == 0, "a", "b"), y=(np.arange(n) % 4 == 0).astype(int))
