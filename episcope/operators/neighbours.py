@@ -245,7 +245,7 @@ def smote(df: DataFrame, key: str, label: str, features: str, ratio: float, k: i
     extra = int(ratio * many) - few
     if extra <= 0 or few < 2:
         return real
-    rare = real.where(F.col(label) == minority).select(F.col(key).alias("id"), F.col(features).alias("vec"))
+    rare = durable(real.where(F.col(label) == minority).select(F.col(key).alias("id"), F.col(features).alias("vec")))
     base = rare
     if borderline:
         everyone = real.select(F.col(key).alias("id"), F.col(features).alias("vec"))

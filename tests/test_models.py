@@ -644,6 +644,22 @@ def test_training_rows_do_not_depend_on_partitions(spark, rng):
     assert [r["id"] for r in first] == [r["id"] for r in second] and len(first) == len(second)  # order included
 
 
+def test_resampling_reads_kept_rows(spark, rng, monkeypatch, capsys):
+    """Resampling reads its rows many times, so they come without the chain's functions behind them."""
+    df = frame(spark, id=np.arange(200), x=rng.normal(size=200), c=np.where(np.arange(200) % 3 == 0, "a", "b"), y=(np.arange(200) % 5 == 0).astype(int))
+    plans = []
+
+    def spy(rows, *rest):
+        capsys.readouterr()
+        rows.explain()
+        plans.append(capsys.readouterr().out)
+        return rows
+    monkeypatch.setattr(learning, "resample", spy)
+    own = learning.prepare(df, learning.preprocessor(categorical=["c"], scaled=["x"]), "id", "y", "smote")
+    assert len(plans) == 1 and "Plan" in plans[0] and "UDF" not in plans[0]
+    assert own.rows.count() == 200 and own.rows.columns == ["id", "y", "features", "balanced_weight", "positive_weight"]
+
+
 def test_training_weights(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "y int")
     got = {r["y"]: (r["balanced_weight"], r["positive_weight"]) for r in learning.with_training_weights(df, "y").collect()}
