@@ -56,15 +56,16 @@ def welch_t(df: DataFrame, group: str, cols: Sequence[str], a, b) -> DataFrame:
                         dist.t_p_value(F.col("t"), F.col("dof")).alias("p_value"))
 
 
-def rank_table(df: DataFrame, keys: Sequence[str], value: str, first: Column, descending: bool = False) -> DataFrame:
-    """Distinct values with the rows of either side and their running counts.
+def rank_table(df: DataFrame, keys: Sequence[str], value: str, first: Column, descending: bool = False, count: str | None = None) -> DataFrame:
+    """Distinct values with the rows of either side and their running counts. ``count``: how many rows each one stands for.
 
     Everything that ranks (U statistic, ROC area, average precision) reads this table. Rows are counted per value
     before any ordering, and the running counts are carried across value ranges.
     """
     present = drop_null_keys(df, [*keys, value])
+    rows = lambda side: F.count_if(side) if count is None else F.coalesce(F.sum(F.when(side, F.col(count))), F.lit(0))
     counted = present.groupBy(*keys, F.col(value).cast("double").alias("value")).agg(
-        F.count_if(first).alias("n_first"), F.count_if(~first).alias("n_second"))
+        rows(first).alias("n_first"), rows(~first).alias("n_second"))
     both = counted.withColumn("n", F.col("n_first") + F.col("n_second"))
     return running_totals(both, keys, "value", {"cum_first": "n_first", "cum_second": "n_second"}, descending,
                           cuts=range_cuts(present, value))

@@ -117,3 +117,37 @@ def test_scores_are_kept_apart_when_memory_is_small(spark, monkeypatch):
     df, model = rows(spark, 900), tree().fit(rows(spark, 900))
     ours = trees.fit(tree(), df)
     assert scores(ours, df) == pytest.approx(scores(model, df), rel=1e-9) and scores(ours, df.where("false")).size == 0
+
+
+def test_permutation_scores_each_kind_once(spark, monkeypatch):
+    """Same importances as from the scores of every row, but equal rows are scored once."""
+    n, rng = 1500, np.random.default_rng(3)
+    a, b = rng.integers(0, 6, n), rng.integers(0, 4, n)
+    y = (rng.random(n) < 0.1 + 0.12 * a).astype(int)
+    df = durable(spark.createDataFrame([(i, int(v), float(p), float(q) if q else None) for i, (v, p, q) in enumerate(zip(y, a, b))], "id long, y int, a double, b double"))
+    chain = learning.Pipeline(stages=[learning.VectorAssembler(inputCols=["a", "b"], outputCol="features", handleInvalid="keep")]).fit(df)
+    model = learning.PipelineModel(stages=[*chain.stages, tree(weightCol="w", minInstancesPerNode=1).fit(
+        chain.transform(df.fillna(0.0)).withColumn("w", F.lit(1.0)))])
+    whole = learning.scored(model, df).select("y", "score")
+    full = learning.metrics.auc(whole, "y", "score").first()["roc_auc"]
+    want = {}
+    for i, c in enumerate(["a", "b"]):
+        ordered = df.withColumn("h", learning.hashed_unit(42 + i, "id")).toPandas().sort_values(["h", "id"])
+        moved = ordered[c].shift(1)
+        moved.iloc[0] = ordered[c].iloc[0]
+        rows = [(int(v), *(None if x != x else float(x) for x in z)) for v, *z in zip(ordered.y, *[moved if k == c else ordered[k] for k in ("a", "b")])]
+        mixed = spark.createDataFrame(rows, "y int, a double, b double")
+        want[c] = full - learning.metrics.auc(learning.scored(model, mixed), "y", "score").first()["roc_auc"]
+    seen, scored = [], learning.scored
+    monkeypatch.setattr(learning, "scored", lambda m, d: (seen.append(d.count()), scored(m, d))[1])
+    got = {r["feature"]: r["importance"] for r in learning.permutation_importance(model, df, "id", "y", ["a", "b"]).collect()}
+    assert got == pytest.approx(want, rel=1e-9) and got["a"] > 0.05
+    assert len(seen) == 3 and max(seen) <= 2 * 6 * 4
+    kinds = learning.shuffled_kinds(df, "id", ["a", "b"])
+    assert [k.agg(F.sum("__n")).first()[0] for k in kinds] == [n] * 3
+
+
+def test_auc_of_counted_rows(spark):
+    df = spark.createDataFrame([(1, 0.9, 3), (0, 0.9, 1), (1, 0.2, 2), (0, 0.1, 5), (None, 0.5, 7)], "y int, s double, n long")
+    each = df.select("y", "s", F.explode(F.sequence(F.lit(1), "n")))
+    assert learning.metrics.auc(df, "y", "s", count="n").collect() == learning.metrics.auc(each, "y", "s").collect()
