@@ -151,3 +151,20 @@ def test_auc_of_counted_rows(spark):
     df = spark.createDataFrame([(1, 0.9, 3), (0, 0.9, 1), (1, 0.2, 2), (0, 0.1, 5), (None, 0.5, 7)], "y int, s double, n long")
     each = df.select("y", "s", F.explode(F.sequence(F.lit(1), "n")))
     assert learning.metrics.auc(df, "y", "s", count="n").collect() == learning.metrics.auc(each, "y", "s").collect()
+
+
+def test_evaluation_over_many_partitions_needs_no_job_per_level(spark, monkeypatch):
+    """Training rows of several partitions are merged for every model, resampled ones too; metrics count all rows."""
+    n, rng = 1200, np.random.default_rng(5)
+    a = rng.integers(0, 8, n)
+    df = spark.createDataFrame([(i, float(v), int(rng.random() < 0.05 + 0.05 * v)) for i, v in enumerate(a)], "id long, a double, y int")
+    split = learning.stratified_split(df, "id", "y", {"train": 0.7, "valid": 0.15, "test": 0.15})
+    monkeypatch.setattr(learning, "ROWS_PER_PARTITION", 200)
+    for kind in (DecisionTreeClassifier, RandomForestClassifier, GBTClassifier):
+        monkeypatch.setattr(kind, "fit", lambda *args: pytest.fail("Spark's own fit runs jobs for every level"))
+    models = {"RandomForest": forest(weightCol="balanced_weight"), "GradientBoosting": boosted(), "BoostedWeighted": boosted(weightCol="positive_weight")}
+    got = learning.fit_and_eval(split, "split", "id", "y", models, learning.preprocessor(scaled=["a"])).toPandas().set_index(["model", "split"])
+    train = split.where("split = 'train'").groupBy("y").count().toPandas().set_index("y")["count"]
+    assert len(got) == 9 and (got.roc_auc > 0.6).all()
+    assert got.total["BoostedWeighted", "train"] == train.sum() and got.total["RandomForest", "train"] == train[0] + int(0.7 * train[0])
+    assert all(got.total[m, "valid"] + got.total[m, "test"] + train.sum() == n for m in models)
